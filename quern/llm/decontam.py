@@ -226,6 +226,9 @@ def decontaminate_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, with their columns as they are."""
+    """The rows of ``docs`` that hold no benchmark window, with their columns as they are.
+
+    Rows that share a doc_id, or have none, go together if one of them holds a window.
+    """
     hits = decontaminate(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["hit_id"], "left_anti")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")

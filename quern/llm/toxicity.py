@@ -18,8 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import slices, spread
 
@@ -190,27 +189,26 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000
     return lexicon
 
 
-SCORE_COLUMNS = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), StructField("n_matches", IntegerType())])
-
-
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, score in (0, 1) and n_matches of every whole text.
+    """All columns of ``docs`` (text, ...) with score in (0, 1) and n_matches, from every whole text.
 
     A null or empty text has no match and the score of the intercept. Only the text decides: equal texts score alike, null ids and
-    repeated rows keep a row each, other columns are ignored, an empty table gives an empty result.
+    repeated rows keep a row each; columns of ``docs`` named score or n_matches are replaced; an empty table gives an empty result.
     """
-    schema = to_arrow_schema(SCORE_COLUMNS)
+    docs = spread(docs.drop("score", "n_matches"))
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("n_matches", IntegerType())])
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, weights = lexicon.automaton(), list(lexicon.weights.values())
         for batch in slices(batches):
             scores, matches = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(place).to_pylist():
                 words = folded_words(text or "")
                 counts = entry_counts(found, words)
                 total = sum(weights[e] * min(max(c, 0), 8) for e, c in counts.items()) * 4 / np.sqrt(max(len(words), 16))
                 scores.append(float(1 / (1 + np.exp(-min(max(total + lexicon.intercept, -30), 30)))))
                 matches.append(sum(max(c, 0) for c in counts.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matches, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(matches, pa.int32())], [*batch.schema.names, "score", "n_matches"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, SCORE_COLUMNS)
+    return docs.mapInArrow(run, schema)
