@@ -30,5 +30,43 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+OP1_MINHASH_DEDUP = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept FROM reached r LEFT JOIN sizes s USING (doc_id) GROUP BY r.doc_id
+"""
+
+OP6_DECONTAMINATION = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), worded AS (
+  SELECT kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM split
+), windows AS (
+  SELECT DISTINCT id AS item_id, least(len(words), 10) AS size, array_to_string(words[i : i + 9], ' ') AS body FROM (SELECT id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM worded WHERE kind = 'b' AND len(words) > 0)
+), places AS (
+  SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS body FROM (
+    SELECT d.id AS doc_id, d.words, s.size, unnest(range(1, len(d.words) - s.size + 2)) AS i FROM worded d, (SELECT DISTINCT size FROM windows) s WHERE d.kind = 'd')
+), hits AS (
+  SELECT p.doc_id, p.i, p.size, w.item_id FROM places p JOIN windows w ON w.size = p.size AND w.body = p.body
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.id AS doc_id, len(d.words) AS n_words, coalesce(w.n, 0) AS n_hit, coalesce(h.n, 0) AS n_items, sha256(coalesce(h.items, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
+FROM worded d LEFT JOIN hit_words w ON w.doc_id = d.id LEFT JOIN hit_items h ON h.doc_id = d.id WHERE d.kind = 'd'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_MIXING}
+    return {"op1_minhash_dedup": OP1_MINHASH_DEDUP, "op6_decontamination": OP6_DECONTAMINATION, "op10_mixing": OP10_MIXING}
