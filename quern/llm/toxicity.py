@@ -33,13 +33,26 @@ _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def folded_words(text: str) -> list[str]:
-    """The words of a text after folding."""
+_LOOKALIKE = re.compile(f"[{''.join(HOMOGLYPHS)}]")
+
+
+def folded(text: str) -> str:
+    """A text in lower case and compatibility form, without hidden characters, homoglyphs and disguised letters."""
     text = text.lower()
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(_FOLD)
-    text = _DISGUISED.sub(lambda m: m.group().translate(_SUBSTITUTE), text)
-    return _WORD.findall(text)
+        text = unicodedata.normalize("NFKC", text)
+        if _HIDDEN.search(text):
+            text = _HIDDEN.sub("", text)
+        if _LOOKALIKE.search(text):
+            text = text.translate(_FOLD)
+    if any(sign in text for sign in SUBSTITUTES):
+        text = _DISGUISED.sub(lambda m: m.group().translate(_SUBSTITUTE), text)
+    return text
+
+
+def folded_words(text: str) -> list[str]:
+    """The words of a text after folding."""
+    return _WORD.findall(folded(text))
 
 
 @dataclass
@@ -50,6 +63,15 @@ class Lexicon:
     exceptions: tuple[str, ...] = ()
     intercept: float = -3.0
 
+    def anywhere(self) -> ahocorasick.Automaton:
+        """Finds entries inside words, too: a text without any needs no further look."""
+        found = ahocorasick.Automaton()
+        for entry in self.weights:
+            found.add_word(entry, 1)
+        if len(found):
+            found.make_automaton()
+        return found
+
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for number, entry in enumerate(self.weights):
@@ -200,11 +222,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, weights = lexicon.automaton(), list(lexicon.weights.values())
+        found, anywhere, weights = lexicon.automaton(), lexicon.anywhere(), list(lexicon.weights.values())
         for batch in slices(batches):
             scores, matches = [], []
             for text in batch.column(place).to_pylist():
-                words = folded_words(text or "")
+                text = folded(text or "")
+                words = _WORD.findall(text) if text and len(anywhere) and next(anywhere.iter(text), None) else []
                 counts = entry_counts(found, words)
                 total = sum(weights[e] * min(max(c, 0), 8) for e, c in counts.items()) * 4 / np.sqrt(max(len(words), 16))
                 scores.append(float(1 / (1 + np.exp(-min(max(total + lexicon.intercept, -30), 30)))))
