@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Multipliers of the 64-bit mixing function.
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -39,13 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors."""
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    The driver's garbage is collected first, as Spark deletes the shuffle files of a finished query only when its plan is.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later result reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table read in fewer partitions than there are cores over all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -57,11 +71,6 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def frame(schema: pa.Schema, columns: dict[str, Iterable]) -> pa.RecordBatch:
-    """A record batch of ``columns`` in the order and types of ``schema``."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows, so that a task's memory follows a few texts only."""
     for batch in batches:
@@ -105,8 +114,3 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(size):
             acc = acc * _BASE + words[i : n - size + 1 + i]
     return np.unique(mixed(acc))
-
-
-def unsigned_key(column: str, buckets: int) -> F.Column:
-    """A stable bucket number of a column's value."""
-    return F.pmod(F.xxhash64(column), F.lit(buckets))
