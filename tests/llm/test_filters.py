@@ -94,7 +94,9 @@ def test_reliable_labelers_are_told_from_noise():
 
 
 def test_folding():
-    assert toxicity.folded_words("ѕtup1d 1d10t! w0rth|ess c​lown 2024 a$$ 100$") == ["stupid", "idiot", "worthless", "clown", "ass"]
+    """Signs at a word's end are noise, not letters."""
+    text = "ѕtup1d 1d10t! w0rth|ess c\u200blown$$$ 2024 a$s 100$"
+    assert toxicity.folded_words(text) == ["stupid", "idiot", "worthless", "clown", "ass"]
 
 
 def test_toxicity_learns_and_holds_out(spark):
