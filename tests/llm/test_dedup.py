@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.llm import lines, minhash, suffixes
+from quern.llm import lines, minhash, queries, suffixes
 from quern.llm.components import connected_components
 
 
@@ -109,6 +109,28 @@ def test_lines_match_all_pairs_that_share_a_block(docs, corpus):
         assert (rows[doc].text, rows[doc].source, rows[doc].n_removed) == (kept, source, sum(d == doc for d, _ in gone))
 
 
+def test_line_query_matches_all_pairs(spark, tmp_path):
+    """The registered query on lines of 4 to 60 words with as many edits as are allowed, and one more, against all pairs."""
+    rng = np.random.default_rng(5)
+    codes, texts = lines.WordCodes(), []
+    for size in [*range(4, 30), 40, 60] * 4:
+        base = rng.integers(0, 3000, size).tolist()
+        for more in (0, 1):
+            new = list(base)
+            for _ in range(size // 5 + more):
+                at, kind = rng.integers(len(new)), rng.integers(3)
+                new[at : at + (kind != 1)] = [] if kind == 2 else [rng.integers(3000)]
+            texts.append(" ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}" for n in new))
+        texts.append(" ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}" for n in base))
+    words = [codes.of(t).tolist() for t in texts]
+    links = [(i, j) for i in range(len(words)) for j in range(i) if min(len(words[i]), len(words[j])) >= 4 and edits(words[i], words[j]) <= int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)]
+    want = roots(len(words), links)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert len(links) > 100
+    assert {r.doc_id for r in rows if r.n_removed} == {i for i in range(len(words)) if want[i] != i}
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Call us on 555 today, please!"), (2, "CALL US ON 777 TODAY PLEASE"), (3, "Yes.\nYes.")]
     found = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
