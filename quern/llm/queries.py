@@ -48,7 +48,7 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of what is left of each text."""
-    left = lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every_pair=True)
+    left = lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every_pair=True, short_lines=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

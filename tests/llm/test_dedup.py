@@ -131,6 +131,15 @@ def test_line_query_matches_all_pairs(spark, tmp_path):
     assert {r.doc_id for r in rows if r.n_removed} == {i for i in range(len(words)) if want[i] != i}
 
 
+def test_line_query_takes_short_and_unspaced_lines(spark, tmp_path):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    texts = ["Contents\n\n---\nSee also", "SEE ALSO:\n---\n***\n \ncontents\n", han + "\n中文", han[:20] + "的" + han[21:] + "\n中文\n中", "\n\n \n----"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    want = [(0, texts[0]), (3, "***\n \n"), (0, texts[2]), (2, "中"), (0, texts[4])]
+    assert rows == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in enumerate(want)}
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Call us on 555 today, please!"), (2, "CALL US ON 777 TODAY PLEASE"), (3, "Yes.\nYes.")]
     found = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
