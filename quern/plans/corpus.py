@@ -61,6 +61,12 @@ def reassemble_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.reassemble(owners, chunks)
 
 
+def reassemble_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document from the chunks of its whole text."""
+    owners = b.documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "filename")
+    return chunking.reassemble(owners, chunking.chunk_corpus(plain_docs(spark, sf_dir), strategy="paragraphs"))
+
+
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents")
     found = docs.select("doc_id", F.size(e.serials(F.col("text"))).alias("n_serials"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(IPV4), F.lit(0)))).alias("n_addresses"))
@@ -164,7 +170,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_corpus, chunk_sections, chunk_paragraph, reassemble_document, entity_extract, page_links, serial_switches, switch_groups, switch_summary, address_lookup, link_topology, topology_devices, embed_chunks, scan_udf,
+        chunk_corpus, chunk_sections, chunk_paragraph, reassemble_document, reassemble_chunks, entity_extract, page_links, serial_switches, switch_groups, switch_summary, address_lookup, link_topology, topology_devices, embed_chunks, scan_udf,
         pattern_scan, file_ingest, table_ingest, stream_daily_counts, stream_ingest,
     )
 }

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import chunking as c
+from quern.plans.queries import queries
 
 MARKDOWN = "# Top\nIntro text that is long enough to be kept as a section of its own, surely.\n## First\nbody " + "x" * 60 + "\n```bash\n# not a heading\nnv set interface swp1\n```\n### Deep\n" + "deep " * 20 + "\n## Second\n" + "second " * 12
 
@@ -69,3 +70,10 @@ def test_reassemble_nests_children(spark):
     chunks = spark.createDataFrame([("a", "d", 1, "second", None), ("b", "d", 0, "first", None), ("c", "d", 2, "child", "b")], "id string, document_id string, chunk_index int, content string, parent_id string")
     docs = spark.createDataFrame([("d", "file"), ("e", "bare")], "document_id string, filename string")
     assert {r.document_id: r.markdown for r in c.reassemble(docs, chunks).collect()} == {"d": "# file\n\nfirst\n\nchild\n\nsecond", "e": "# bare"}
+
+
+def test_reassemble_query_keeps_whole_texts(spark, tmp_path):
+    texts = ["word " * 3000, "One sentence. " * 900 + "\n\n" + "x" * 5000, "short", "", "a\n\nb " * 400 + "end"]
+    spark.createDataFrame([(i, f"src{i % 2}", "en", len(t), t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.document_id: r.markdown for r in queries()["reassemble_chunks"](spark, str(tmp_path)).collect()}
+    assert {i: "".join(m.split()) for i, m in found.items()} == {i: f"#src{i % 2}" + "".join(t.split()) for i, t in enumerate(texts)}
