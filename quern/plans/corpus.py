@@ -109,6 +109,11 @@ def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.col("hostname").isNull() | full).select("sn", "hostname", "outband", "inband")
 
 
+def address_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All serials, with those whose line has only serial and host."""
+    return e.address_lookup(b.device_chunks(spark, sf_dir), wanted(spark, sf_dir)).select("sn", "hostname", "outband", "inband")
+
+
 def link_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.topology_edges(b.link_chunks(spark, sf_dir)).drop("first")
 
@@ -170,7 +175,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_corpus, chunk_sections, chunk_paragraph, reassemble_document, reassemble_chunks, entity_extract, page_links, serial_switches, switch_groups, switch_summary, address_lookup, link_topology, topology_devices, embed_chunks, scan_udf,
+        chunk_corpus, chunk_sections, chunk_paragraph, reassemble_document, reassemble_chunks, entity_extract, page_links, serial_switches, switch_groups, switch_summary, address_lookup, address_lookup_all, link_topology, topology_devices, embed_chunks, scan_udf,
         pattern_scan, file_ingest, table_ingest, stream_daily_counts, stream_ingest,
     )
 }

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, conversations, embedding, entities, grounding, understanding
+from quern.plans.queries import queries
 from quern.sources import tables
 
 
@@ -156,3 +157,18 @@ def test_ingest_and_names(spark):
     good, bad = tables.ingest(files)
     assert {r.filename: r.text for r in good.collect()} == {"a.txt": "hi", "配置.md": "ok"}
     assert {r.filename: r.error_message for r in bad.collect()} == {"b.pdf": "no decoder for this type", "c.txt": "empty", "d.txt": "not UTF-8"}
+
+
+def test_address_lookup_query_returns_every_serial(spark, smallest):
+    nation = {r.c_custkey: r.c_nationkey for r in spark.read.parquet(f"{smallest}/customer.parquet").select("c_custkey", "c_nationkey").collect()}
+    last = {n: key for key, n in sorted(nation.items()) if key % 3}
+    want = {}
+    for key, n in nation.items():
+        if key % 5 == 0:
+            want[f"AAA1X{key + 500_000_000:09}"] = (None, None, None)
+        else:
+            shown = key if key % 3 else last.get(n)
+            ends = ("", "") if shown is None else (f"10.240.8.{shown % 250}", f"10.240.0.{shown % 250}")
+            want[f"AAA1X{key:09}"] = (f"MDC-XX1E-A{n}-POD{n % 4}-GPU-{key}", *ends)
+    rows = queries()["address_lookup_all"](spark, smallest).collect()
+    assert len(rows) == len(want) and {r.sn: (r.hostname, r.outband, r.inband) for r in rows} == want
