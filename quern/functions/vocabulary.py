@@ -19,14 +19,29 @@ EXPANSIONS = {
     "配置": ("config", "configuration", "settings", "setup", "provisioning", "set"),
     "config": ("配置", "设置"),
     "显示": ("show", "display", "view", "list", "get", "print"),
+    "列出": ("list", "show", "ls", "display", "enumerate"),
     "查看": ("check", "view", "show", "display", "inspect"),
     "状态": ("status", "state", "health", "condition", "info", "summary"),
     "命令": ("command", "cli", "cmd", "instruction", "nv", "nvue", "netq", "vtysh"),
+    "保存": ("save", "write", "commit", "store"),
+    "重启": ("reboot", "reload", "restart", "reset"),
     "删除": ("delete", "remove", "unset", "clear", "erase", "no"),
+    "开启": ("enable", "up", "start", "activate", "on"),
+    "关闭": ("disable", "down", "stop", "deactivate", "off", "shutdown"),
     "调试": ("debug", "trace", "log", "monitor"),
+    "升级": ("upgrade", "update", "install", "patch"),
+    "连接": ("connect", "ssh", "telnet", "console", "link"),
+    "所有": ("all", "full", "entire", "everything", "total", "whole"),
+    "设备": ("device", "system", "switch", "router", "box", "hardware", "platform", "node", "chassis"),
+    "当前": ("current", "currently", "active", "running", "applied", "now"),
     "接口": ("interface", "port", "int", "eth", "swp"),
     "路由": ("route", "routing", "rib", "fib", "forwarding"),
+    "网络": ("network", "net", "fabric", "infrastructure"),
+    "版本": ("version", "ver", "revision", "release", "image"),
+    "用户": ("user", "username", "account", "admin", "role"),
+    "密码": ("password", "passwd", "secret", "credential", "auth"),
     "邻居": ("neighbor", "peer", "adjacency"),
+    "日志": ("log", "logging", "syslog", "journal"),
     "错误": ("error", "fail", "failure", "drop", "discard", "loss", "down"),
     "起不来": ("down", "fail", "failure", "not established"),
     "怎么办": ("troubleshoot", "fix", "solution", "how to", "debug"),
@@ -36,6 +51,7 @@ EXPANSIONS = {
     "vxlan": ("virtual extensible lan", "vni", "vtep", "overlay"),
     "vni": ("virtual network identifier", "segment id"),
     "mlag": ("multi-chassis link aggregation", "clag", "bond", "peer-link", "peerlink", "dual-connected", "mlag-id", "backup-ip"),
+    "nv set": ("nv config", "nvue", "nv set interface", "nv set system", "nv set mlag", "nv set bridge", "nv set router", "nv set evpn", "nv set vrf"),
     "nvue": ("nv set", "nv show", "nv config", "nv unset", "nv action"),
     "nv": ("nvue", "nv set", "nv show", "nv config", "nv unset"),
     "stp": ("spanning tree", "rstp", "mstp", "pvst"),
@@ -45,6 +61,10 @@ EXPANSIONS = {
     "vrf": ("virtual routing and forwarding", "vpn-instance"),
     "acl": ("access control list", "filter", "policy", "rule"),
     "bfd": ("bidirectional forwarding detection",),
+    "ptp": ("precision time protocol", "1588"),
+    "snmp": ("simple network management protocol", "trap", "inform"),
+    "ntp": ("network time protocol", "time"),
+    "dhcp": ("dynamic host configuration protocol", "relay"),
     "dns": ("domain name system", "resolve", "nameserver"),
 }
 

@@ -38,6 +38,11 @@ def test_tokens_and_expansion():
     assert "clag" in s.expanded_terms("mlag") and "config" in s.expanded_terms("怎样配置它")
 
 
+def test_expansion_table_is_whole():
+    assert {"save", "write", "commit", "store"} < set(s.expanded_terms("保存"))
+    assert {"1588", "trap", "relay", "passwd", "syslog", "reload"} < set(s.expanded_terms("ptp snmp dhcp 密码 日志 重启"))
+
+
 def test_keyword_scores_match_the_formula_for_one_query_and_for_tables(spark):
     for query in ("nv set mlag", "what is mlag", "mlag error fix", "配置 mlag"):
         want = {i: by_hand(query, t or "", n) for i, t, n, _ in CHUNKS}
