@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +79,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def sized_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows whose texts in ``column`` have about ``most`` bytes, or one row."""
+    for batch in slices(batches, rows):
+        size = np.cumsum(np.fromiter((x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()), np.int64, batch.num_rows))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 class WordHash(dict):
     """64-bit hash of each word, remembered; emptied when it has grown to ``limit`` words."""
 

@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
+
+#: Edges that a task contracts at a time.
+_PIECE = 500_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (high, low) that connect the same nodes as those given: in each piece of a task, every node with the smallest it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := owner.setdefault(x, x)) != x:
+                owner[x] = x = owner[up]
+            return x
 
+        def stars() -> pa.RecordBatch:
+            found = [(x, r) for x in list(owner) if (r := root(x)) != x]
+            owner.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["high", "low"])
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    owner[max(a, b)] = min(a, b)
+            if len(owner) > _PIECE:
+                yield stars()
+        yield stars()
+
+    return edges.mapInArrow(run, "high long, low long")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of ``edges`` (a, b: long).
 
-    Alternating large-star and small-star steps: each node hands its larger, then its smaller neighbours to the smallest
-    node it knows, so a graph of any shape becomes stars in about log n rounds. Nothing is collected but a count and a sum that
-    tell when a round changes nothing. Loops and repeated edges do no harm; no edges give no rows.
+    Tasks contract the edges they hold; then alternating large-star and small-star steps hand each node's larger, then its smaller
+    neighbours to the smallest node it knows, so a graph of any shape becomes stars in about log n rounds. It is done when no
+    node has two centres or is itself a centre of others. Nothing is collected. Loops and repeated edges do no harm; no edges give no rows.
     """
-    pairs = stored(edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).filter("high <> low").distinct())
-    before = None
-    for _ in range(rounds):
+    pairs = stored(contracted(edges.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()))
+    while True:
+        ends = pairs.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 0 AND up + down > 1").isEmpty():
+            return pairs.select(F.col("high").alias("node"), F.col("low").alias("component")).union(pairs.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
         both = pairs.union(pairs.select("low", "high")).toDF("node", "near")
         least = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("least"))
         large = both.filter("near > node").join(least, "node").select(F.col("near").alias("high"), F.col("least").alias("low")).distinct()
         # now every edge leads down; hand a node's smaller neighbours to the smallest of them
         low = large.groupBy("high").agg(F.min("low").alias("least"))
         small = large.join(low, "high").select(F.explode(F.array("high", "low")).alias("high"), F.col("least").alias("low")).filter("high <> low").distinct()
-        pairs = stored(small)
-        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low") % 1_000_003)).first())
-        if state == before:
-            return pairs.select(F.col("high").alias("node"), F.col("low").alias("component")).union(pairs.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
-        before = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        before, pairs = pairs, stored(contracted(small))
+        discard(before)

@@ -91,28 +91,75 @@ def edits(a, b):
     return row[-1]
 
 
-def test_lines_match_all_pairs_that_share_a_block(docs, corpus):
-    codes = lines.WordCodes()
-    places = [(doc, n, codes.of(line).tolist()) for doc, text, _ in corpus for n, line in enumerate((text or "").split("\n"))]
-    places = [p for p in places if len(p[2]) >= 4]
-    distinct = sorted({tuple(w) for *_, w in places})
-    blocks = [lines.sim_hashes(np.array(w, np.uint64), np.array([0]), np.array([len(w)]))[0] for w in distinct]
-    links = [(i, j) for i in range(len(distinct)) for j in range(i) if (blocks[i] == blocks[j]).any() and edits(distinct[i], distinct[j]) <= int(0.2 * max(len(distinct[i]), len(distinct[j])) + 1e-9)]
+def word_list(line):
+    return lines.line_words([line])[0].tolist()
+
+
+def alike(a, b):
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= most and sum((Counter(a) - Counter(b)).values()) <= most and edits(a, b) <= most
+
+
+@pytest.mark.parametrize("every_pair", [False, True])
+def test_lines_match_all_pairs(docs, corpus, every_pair):
+    places = [(doc, n, tuple(word_list(line)) or line.strip()) for doc, text, _ in corpus for n, line in enumerate((text or "").split("\n")) if line.strip()]
+    distinct = sorted({w for *_, w in places}, key=str)
+    links = [(i, j) for i in range(len(distinct)) for j in range(i) if min(len(distinct[i]), len(distinct[j])) >= 4 and alike(distinct[i], distinct[j])]
+    assert links
     group = dict(zip(distinct, roots(len(distinct), links)))
     first: dict = {}
     for doc, n, w in places:
-        first.setdefault(group[tuple(w)], (doc, n))
-    gone = {(doc, n) for doc, n, w in places if first[group[tuple(w)]] != (doc, n)}
-    rows = {r.doc_id: r for r in lines.dedupe_lines(docs).collect()}
+        first.setdefault(group[w], (doc, n))
+    gone = {(doc, n) for doc, n, w in places if first[group[w]] != (doc, n)}
+    rows = {r.doc_id: r for r in lines.dedupe_lines(docs, every_pair=every_pair).collect()}
     for doc, text, source in corpus:
         kept = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if (doc, n) not in gone)
         assert (rows[doc].text, rows[doc].source, rows[doc].n_removed) == (kept, source, sum(d == doc for d, _ in gone))
 
 
+def test_large_buckets_match_all_pairs(spark, monkeypatch):
+    """Lines that share a pair by the hundred, some of them alike: the first line of a bucket, second keys and blocks decide."""
+    monkeypatch.setattr(lines, "_SMALL", 3)
+    rng = np.random.default_rng(9)
+    word = lambda n: "v" + "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    texts = []
+    for _ in range(60):
+        base = rng.integers(0, 40, 7).tolist()
+        for _ in range(3):
+            new = list(base)
+            new[rng.integers(7)] = int(rng.integers(0, 40))
+            texts.append("rare words " + " ".join(word(n) for n in new))
+    words = [word_list(t) for t in texts]
+    want = roots(len(words), [(i, j) for i in range(len(words)) for j in range(i) if alike(words[i], words[j])])
+    rows = lines.dedupe_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.n_removed} == {i for i in range(len(words)) if want[i] != i}
+
+
+def test_pairs_at_the_limit_are_found():
+    """The share of pairs at the limit that show a common key, by length: all up to 22 words, over 0.99 beyond."""
+    rng = np.random.default_rng(2)
+    level = np.zeros(1 << 18, np.uint8)
+    for size in (5, 8, 10, 15, 20, 22, 30, 60, 120):
+        met, tries = 0, 200
+        for _ in range(tries):
+            a = rng.integers(0, 1 << 63, size, np.uint64)
+            b = a.tolist()
+            for _ in range(size // 5):
+                at, kind = rng.integers(len(b)), rng.integers(3)
+                b[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(0, 1 << 63))]
+            b = np.array(b, np.uint64)
+            if edits(a.tolist(), b.tolist()) > int(0.2 * max(len(a), len(b)) + 1e-9):
+                met += 1
+                continue
+            x, y = (set(lines.rare_pairs(w, np.array([len(w)]), level, 0.8, lines.MOST_KEYS)[1].tolist()) for w in (a, b))
+            met += bool(x & y)
+        assert met == tries if size <= 22 else met >= 0.985 * tries, (size, met)
+
+
 def test_line_query_matches_all_pairs(spark, tmp_path):
     """The registered query on lines of 4 to 60 words with as many edits as are allowed, and one more, against all pairs."""
     rng = np.random.default_rng(5)
-    codes, texts = lines.WordCodes(), []
+    texts = []
     for size in [*range(4, 30), 40, 60] * 4:
         base = rng.integers(0, 3000, size).tolist()
         for more in (0, 1):
@@ -122,7 +169,7 @@ def test_line_query_matches_all_pairs(spark, tmp_path):
                 new[at : at + (kind != 1)] = [] if kind == 2 else [rng.integers(3000)]
             texts.append(" ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}" for n in new))
         texts.append(" ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}" for n in base))
-    words = [codes.of(t).tolist() for t in texts]
+    words = [word_list(t) for t in texts]
     links = [(i, j) for i in range(len(words)) for j in range(i) if min(len(words[i]), len(words[j])) >= 4 and edits(words[i], words[j]) <= int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)]
     want = roots(len(words), links)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
