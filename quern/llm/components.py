@@ -62,3 +62,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "high").select(F.explode(F.array("high", "low")).alias("high"), F.col("least").alias("low")).filter("high <> low").distinct()
         before, pairs = pairs, stored(contracted(small))
         discard(before)
+
+
+def in_blocks(members: DataFrame, *key: str, block: int = 1024) -> DataFrame:
+    """The rows of ``members`` (key, id, component, ...) whose group has several components, dealt so that groups of any size can be compared.
+
+    Only rows outside their group's largest component need to meet the group. Both sides are cut into blocks of about ``block`` rows, and
+    rows of the same key, ``one`` and ``other`` meet in one task: those with ``outside`` are compared with those without.
+    """
+    sizes = members.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy(*key).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
+    rows = members.join(whole, list(key))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    outside = rows.filter("component <> main").select(*members.columns, spot("outside").alias("one"), each("n").alias("other"), F.lit(True).alias("outside"))
+    every = rows.select(*members.columns, each("outside").alias("one"), spot("n").alias("other"), F.lit(False).alias("outside"))
+    return outside.unionByName(every)
+
+
+class Roots:
+    """Which components have been joined in a task."""
+
+    def __init__(self) -> None:
+        self.owner: dict[int, int] = {}
+
+    def join(self, a: int, b: int) -> bool:
+        """Join two components; false if they were one already."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.owner[a] = b
+        return a != b
+
+    def root(self, x: int) -> int:
+        while (up := self.owner.get(x, x)) != x:
+            x = up
+        return x
