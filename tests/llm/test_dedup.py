@@ -138,7 +138,7 @@ def test_large_buckets_match_all_pairs(spark, monkeypatch):
 def test_pairs_at_the_limit_are_found():
     """The share of pairs at the limit that show a common key, by length: all up to 22 words, over 0.99 beyond."""
     rng = np.random.default_rng(2)
-    level = np.zeros(1 << 18, np.uint8)
+    level = (np.zeros(1 << 23, np.uint8),) * 2
     for size in (5, 8, 10, 15, 20, 22, 30, 60, 120):
         met, tries = 0, 200
         for _ in range(tries):
