@@ -75,10 +75,11 @@ def in_blocks(members: DataFrame, *key: str, block: int = 1024) -> DataFrame:
     rows = members.join(whole, list(key))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    outside = rows.filter("component <> main").select(*members.columns, spot("outside").alias("one"), each("n").alias("other"), F.lit(True).alias("outside"))
-    every = rows.select(*members.columns, each("outside").alias("one"), spot("n").alias("other"), F.lit(False).alias("outside"))
-    return outside.unionByName(every)
+    role = lambda one, other, outside: F.struct(one.alias("one"), other.alias("other"), F.lit(outside).alias("outside"))
+    first = F.transform(F.sequence(F.lit(0), blocks("n") - 1), lambda i: role(spot("outside"), i, True))
+    second = F.transform(F.sequence(F.lit(0), blocks("outside") - 1), lambda i: role(i, spot("n"), False))
+    roles = F.when(F.col("component") == F.col("main"), second).otherwise(F.concat(first, second))
+    return rows.select(*members.columns, F.explode(roles).alias("role")).select(*members.columns, "role.*")
 
 
 class Roots:

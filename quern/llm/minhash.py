@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, discard, mixed, shingle_set, slices, spread, stored, text_bytes
-from .components import connected_components
+from .components import Roots, connected_components, in_blocks
 
 SAMPLES = 256
 SKETCH_BITS = 1024
@@ -129,39 +129,49 @@ def alike(a: str, b: str, bits: int) -> Column:
     return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, words)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0]))) <= bits
 
 
-def family_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def bucket_links(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect the families (component) of each bucket (key, id, component, n_shingles, sketch) by near sketches.
+
+    Blocks of a bucket are compared in tasks; only pairs that join families leave them, fewer than there are members.
+    """
+    bits = most_differing_bits(percent / 100)
+
+    def linked(group: pa.Table) -> pa.Table:
+        outside = group["outside"].to_numpy()
+        ids, component, size = (group[c].to_numpy() for c in ("id", "component", "n_shingles"))
+        sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        roots, out = Roots(), ([], [])
+        inside = np.flatnonzero(~outside)
+        for i in np.flatnonzero(outside).tolist():
+            at = inside[component[inside] != component[i]]
+            at = at[100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i])]
+            for j in at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= bits].tolist():
+                if roots.join(int(component[i]), int(component[j])):
+                    out[0].append(int(min(ids[i], ids[j])))
+                    out[1].append(int(max(ids[i], ids[j])))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    return in_blocks(members, "key").groupBy("key", "one", "other").applyInArrow(linked, "a long, b long")
+
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components inside families of candidates.
 
-    ``members`` has doc_id, family, component and sketch. Each family's members outside its largest component meet all of its members,
-    in blocks of about ``block`` on both sides. A pair of blocks is compared in one task: odd sketches first, full sets next;
+    ``members`` has id, family, component and sketch. Each family's members outside its largest component meet all of its members,
+    in blocks on both sides. A pair of blocks is compared in one task: odd sketches first, full sets next;
     only links that join components leave it, fewer than there are members.
     """
-    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
-    rows = members.join(whole, "family").join(sets, "doc_id")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    spot = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    columns = ["family", "doc_id", "component", "sketch", "shingles"]
-    outside = rows.filter("component <> main").select(*columns, spot("outside").alias("one"), each("n").alias("other"), F.lit(True).alias("outside"))
-    every = rows.select(*columns, each("outside").alias("one"), spot("n").alias("other"), F.lit(False).alias("outside"))
     bits = most_differing_bits(percent / 100)
 
     def linked(group: pa.Table) -> pa.Table:
         outside = group.column("outside").to_numpy()
-        ids, component = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
-        sketch = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         parts = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
         size = np.array(list(map(len, parts)))
         _, codes = np.unique(np.concatenate(parts), return_inverse=True)
         first = np.cumsum(size) - size
-        owner: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while (up := owner.get(c, c)) != c:
-                c = up
-            return c
-
+        roots = Roots()
         out: tuple[list[int], list[int]] = ([], [])
         inside = np.flatnonzero(~outside)
         mark = np.zeros(codes.max() + 1, bool)
@@ -175,14 +185,13 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
             common = np.add.reduceat(mark[codes[places]], np.cumsum(size[at]) - size[at], dtype=np.int64)
             mark[own] = False
             for j in at[100 * common >= percent * (size[i] + size[at] - common)].tolist():
-                x, y = root(int(component[i])), root(int(component[j]))
-                if x != y:
-                    owner[x] = y
+                if roots.join(int(component[i]), int(component[j])):
                     out[0].append(int(ids[i]))
                     out[1].append(int(ids[j]))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    return outside.unionByName(every).groupBy("family", "one", "other").applyInArrow(linked, "a long, b long")
+    held = members.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    return in_blocks(held, "family", block=512).groupBy("family", "one", "other").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -191,8 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     Documents are linked when the sets of their ``k``-word shingles have 100 * intersection >= percent * union, whatever the
     size of a group. Documents with equal sets are one class, of which the smallest doc_id goes on. Classes that share a band are
     candidates. Candidates that the odd sketches do not strike out form families: those near the smallest or the largest
-    member of a bucket come together, and any other near pair of a bucket, at its first shared band, is taken by itself. Full
-    sets decide on these pairs, and then, inside each family, on all pairs that are not connected yet. With 32 bands
+    member of a bucket come together, and other families of a bucket are joined where members are near. Full
+    sets decide on the joining pairs, and then, inside each family, on all pairs that are not connected yet. With 32 bands
     of 4 rows a pair at exactly 0.75 shares a band with a chance of 1 - 5e-6.
 
     A null text, or one without words, has an empty set and is linked with nothing. Rows that repeat a doc_id are one
@@ -208,9 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     heads = classes.select(F.col("first").alias("doc_id"), F.col("digest").alias("own")).join(filled, "doc_id").filter("own = digest")
     heads = stored(heads.dropDuplicates(["doc_id", "own"]).select("doc_id", "n_shingles", "bands", "sketch"))
 
-    members = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    members = heads.select("doc_id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last")
-    placed = stored(members.join(buckets, "key").select("key", "band", "doc_id", "lead", "last"))
+    placed = stored(members.join(buckets, "key").select("key", "doc_id", "lead", "last"))
     star = lambda centre: placed.filter(F.col("doc_id") != F.col(centre)).select(F.least(centre, "doc_id").alias("a"), F.greatest(centre, "doc_id").alias("b"))
     few_bits = most_differing_bits(percent / 100)
     sketches = heads.select("doc_id", "n_shingles", "sketch")
@@ -225,25 +234,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     proposed = stored(close(star("lead").union(star("last")).distinct()))
     families = stored(connected_components(proposed).select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
-    # every bucket's first and last document have met all its others by now
-    grouped = placed.filter("doc_id <> lead AND doc_id <> last").select("key", "band", "doc_id").join(families, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
-    sizes = grouped.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("family", F.struct("n", "family")).alias("main"), F.count(F.lit(1)).alias("n_families")).filter("n_families > 1").select("key", "main")
-    rest = stored(grouped.join(several, "key").join(heads, "doc_id").withColumn("outside", F.col("family") != F.col("main")).drop("main"))
-    # two families meet only if one member at least is outside the bucket's largest, so that one's members never meet each other
-    x, y = rest.filter("outside").alias("x"), rest.alias("y")
-    shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
-    once = ~F.col("y.outside") | (F.col("x.doc_id") < F.col("y.doc_id"))
-    fits = (F.col("x.key") == F.col("y.key")) & once & (F.col("x.family") != F.col("y.family")) & near("x", "y") & (shared == F.col("x.band") + 1)
-    across = stored(x.join(y, fits).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")))
-    discard(placed, rest)
-
-    touched = families.select("doc_id").union(across.select("a")).union(across.select("b")).distinct()
-    sets = stored(shingle_sets(docs.join(touched, "doc_id", "left_semi"), k))
+    # every bucket's first and last document have met all its others by now; buckets with the same documents are compared once
+    alike_buckets = placed.groupBy("key").agg(F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).filter("n > 2").groupBy("sum", "n").agg(F.min("key").alias("key")).select("key")
+    grouped = placed.filter("doc_id <> lead AND doc_id <> last").select("key", "doc_id").join(alike_buckets, "key", "left_semi").join(families, "doc_id", "left")
+    across = stored(bucket_links(grouped.select("key", F.col("doc_id").alias("id"), F.coalesce("family", "doc_id").alias("component")).join(sketches.withColumnRenamed("doc_id", "id"), "id"), percent))
+    discard(placed)
+    families = connected_components(proposed.union(across)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+
+    sets = stored(shingle_sets(docs.join(families.select("doc_id").distinct(), "doc_id", "left_semi"), k))
     links = stored(confirmed(proposed.union(across), sets, percent))
     owners = connected_components(links).select(F.col("node").alias("doc_id"), "component")
     placed_in = families.join(owners, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = stored(family_links(placed_in.join(heads.select("doc_id", "sketch"), "doc_id"), sets, percent))
+    more = stored(family_links(placed_in.join(heads.select("doc_id", "sketch"), "doc_id").withColumnRenamed("doc_id", "id"), sets, percent))
     discard(sets)
     components = connected_components(links.union(more).union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(components, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
