@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -127,7 +128,7 @@ def keyword_search_batch(chunks: DataFrame, queries: DataFrame, limit: int = 30,
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = _search_block(chunks, [], queries, expansions)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
@@ -173,16 +174,15 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int = 30, least:
 def vector_search_batch(chunks: DataFrame, queries: DataFrame, limit: int = 30, least: float = 0.2, block: int = 4096) -> DataFrame:
     """query_id, chunk_id, score and rank for every row of ``queries`` (query_id, vector), by matrix products of batches.
 
-    Queries go through in blocks of ``block``, which bounds the broadcast; every batch hands on its own best only.
+    Queries go through in blocks of ``block`` with vectors of one length, which bounds the broadcast; every batch hands on its own best only.
     """
     kind, query_kind = (d.schema[c].dataType.simpleString() for d, c in ((chunks, "chunk_id"), (queries, "query_id")))
-    rows = queries.filter("vector IS NOT NULL").select("query_id", "vector").toLocalIterator()
+    rows = queries.filter("vector IS NOT NULL").select("query_id", "vector").orderBy(F.size("vector")).toLocalIterator()
     out = None
     spark = chunks.sparkSession
-    while part := [r for _, r in zip(range(block), rows)]:
-        widths = [len(r["vector"]) for r in part]
-        matrix = np.array([r["vector"] for r in part if len(r["vector"]) == max(widths)], float)
-        ids = [r["query_id"] for r in part if len(r["vector"]) == max(widths)]
+    parts = (part for _, alike in itertools.groupby(rows, key=lambda r: len(r["vector"])) for part in itertools.batched(alike, block))
+    for part in parts:
+        matrix, ids = np.array([r["vector"] for r in part], float), [r["query_id"] for r in part]
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -204,7 +204,7 @@ def vector_search_batch(chunks: DataFrame, queries: DataFrame, limit: int = 30,
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], f"query_id {query_kind}, chunk_id {kind}, score double, rank int")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
@@ -233,7 +233,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, queries: DataFrame, limit: int =
     )
     from_vector = F.lit(1.0) / (F.col("k") + F.col("vector_rank")) * F.when(F.col("shifted"), 0.8).otherwise(1.0) + plus(F.col("vector_score") > 0.85, 0.05)
     fused = both.withColumn("score", F.coalesce(from_keyword, F.lit(0.0)) + F.coalesce(from_vector, F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("keyword_rank").asc_nulls_last(), F.col("vector_rank").asc_nulls_last(), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("keyword_rank").asc_nulls_last(), F.col("vector_rank").asc_nulls_last(), "chunk_id")
     sources = F.filter(F.array(F.when(F.col("keyword_rank").isNotNull(), "keyword"), F.when(F.col("vector_rank").isNotNull(), "vector")), lambda s: s.isNotNull())
     ranked = fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return ranked.select("query_id", "chunk_id", "score", "rank", sources.alias("sources"), F.struct("keyword_score", "vector_score").alias("debug"))

@@ -172,10 +172,10 @@ def _batch_sql(limit: int) -> str:
       keyword AS (SELECT query_id, query, doc_id, t, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT *, base + {boost} AS score FROM based) WHERE score > 0 QUALIFY rank <= {limit})"""
 
 
-def _vector_sql(limit: int, asked: str) -> str:
+def _vector_sql(limit: int, asked: str, rows: str = "embeddings") -> str:
     return f"""asked AS ({asked}),
       vector AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM (
-        SELECT a.query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], a.v) AS score FROM asked a, embeddings e) WHERE score > 0.2 QUALIFY rank <= {limit})"""
+        SELECT a.query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], a.v) AS score FROM asked a, {rows} e) WHERE score > 0.2 QUALIFY rank <= {limit})"""
 
 
 _GOLDEN_VECTORS = "SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id"
@@ -183,13 +183,13 @@ _GOLDEN_VECTORS = "SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM ben
 
 def _fused_sql(limit: int) -> str:
     command = f"(regexp_matches(query, {_text(v.FUSION_COMMAND_PATTERN)}) OR {_any('query', v.FUSION_COMMAND_WORDS)})"
-    return f"""WITH {_batch_sql(30)}, {_vector_sql(30, _GOLDEN_VECTORS)},
+    return f"""WITH {_batch_sql(30)}, {_vector_sql(30, _GOLDEN_VECTORS, "(SELECT vec_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id)")},
       flags AS (SELECT query_id, {command} AS is_command, {command} OR {_any('query', v.FUSION_TECH_WORDS)} AS shifted FROM golden),
       pairs AS (SELECT coalesce(k.query_id, x.query_id) AS query_id, coalesce(k.doc_id, x.vec_id) AS chunk_id, k.score AS ks, k.rank AS kr, k.t, x.score AS vs, x.rank AS vr
-        FROM (SELECT * FROM keyword WHERE query_id IN (SELECT query_id FROM asked)) k FULL JOIN (SELECT v.* FROM vector v JOIN documents d ON d.doc_id = v.vec_id) x ON x.query_id = k.query_id AND x.vec_id = k.doc_id),
+        FROM (SELECT * FROM keyword WHERE query_id IN (SELECT query_id FROM asked)) k FULL JOIN vector x ON x.query_id = k.query_id AND x.vec_id = k.doc_id),
       summed AS (SELECT p.*, coalesce(1.0 / (60 + kr) * CASE WHEN shifted THEN 1.5 ELSE 1 END + CASE WHEN ks > 10 THEN 0.05 ELSE 0 END + CASE WHEN is_command AND (contains(t, 'nv set') OR contains(t, 'nv show') OR contains(t, '```')) THEN 0.08 ELSE 0 END, 0)
           + coalesce(1.0 / (60 + vr) * CASE WHEN shifted THEN 0.8 ELSE 1 END + CASE WHEN vs > 0.85 THEN 0.05 ELSE 0 END, 0) AS score FROM pairs p JOIN flags USING (query_id)),
-      fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kr NULLS LAST, vr NULLS LAST, chunk_id) AS rank FROM summed QUALIFY rank <= {limit})"""
+      fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kr NULLS LAST, vr NULLS LAST, chunk_id) AS rank FROM summed QUALIFY rank <= {limit})"""
 
 
 def _intent_sql() -> str:
