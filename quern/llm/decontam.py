@@ -124,10 +124,10 @@ def result(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def summary(doc_id: int | None, n: int, starts: np.ndarray, ends: np.ndarray, items: set[str]) -> tuple:
+def summary(doc_id: int | None, n: int, starts: np.ndarray, ends: np.ndarray, items: set[str | None]) -> tuple:
     mask = covered(starts, ends, n)
     hits = int(mask.sum())
-    digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    digest = hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
     return doc_id, n, hits, len(items), digest, hits > 0, ",".join(f"{a}:{b}" for a, b in runs(mask))
 
 
@@ -136,8 +136,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
 
     An item of fewer than ``size`` words, but not none, is one window. Up to ``broadcast_windows`` distinct (item, window) rows
     the index is sent to every executor; beyond it :func:`decontaminate_by_join` gives the same rows through a shuffle.
-    Null or empty texts have no words and no hits; equal texts of several items share windows and count for each item; items and
-    documents with null ids are kept apart by row; other columns are ignored; either table may be empty.
+    Null or empty texts have no words and no hits; equal texts of several items share windows and count for each item; items
+    with a null id count as one item, which has no place in the digest; documents with null ids keep a row each; other columns are ignored; either table may be empty.
     """
     windows = stored(item_windows(benchmark, size))
     if windows.limit(broadcast_windows + 1).count() > broadcast_windows:
@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
     docs = spread(docs.select(F.col("doc_id").cast("long"), "text"))
     items: dict[str, list[str]] = {}
     for row in windows.collect():
-        items.setdefault(row["window"], []).append(row["item_id"] or "")
+        items.setdefault(row["window"], []).append(row["item_id"])
     distinct = sorted(items)
     vocabulary = sorted({w for window in distinct for w in window.encode().split(b" ")})
     frequency = document_frequency(docs, vocabulary)
@@ -210,7 +210,7 @@ def decontaminate_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
         rare,
         (words["word"] == rare["word"]) & (start >= 0) & (start + F.size("parts") <= F.col("n")) & (F.slice("around", (start - F.col("first") + 1).cast("int"), F.size("parts")) == F.col("parts")),
     ).select("row_id", "window", start.alias("start"), (start + F.size("parts")).alias("end"))
-    matches = matches.join(windows, "window").groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("hits"), F.collect_set(F.coalesce("item_id", F.lit(""))).alias("items"))
+    matches = matches.join(windows, "window").groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("hits"), F.collect_set(F.struct("item_id")).alias("items"))
     schema = to_arrow_schema(HIT_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def decontaminate_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
             for doc_id, text, hits, items in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 starts = np.array([h["start"] for h in hits or []], np.int64)
                 ends = np.array([h["end"] for h in hits or []], np.int64)
-                rows.append(summary(doc_id, len(words_of(text)), starts, ends, set(items or [])))
+                rows.append(summary(doc_id, len(words_of(text)), starts, ends, {i["item_id"] for i in items or []}))
             yield result(schema, rows)
 
     return held.join(matches, "row_id", "left").select("doc_id", "text", "hits", "items").mapInArrow(run, HIT_COLUMNS)

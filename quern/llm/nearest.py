@@ -141,6 +141,8 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20, sample_row
         columns = list(zip(*found)) if found else [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = rows.unionByName(asked).groupBy("block", "query_block").applyInArrow(search_block, schema)
+    # a number of its own, so that small tables are not put into few tasks
+    dealt = rows.unionByName(asked).repartition(max(spark.sparkContext.defaultParallelism, 2 * blocks * query_blocks), "block", "query_block")
+    found = dealt.groupBy("block", "query_block").applyInArrow(search_block, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,8 +25,9 @@ from .common import slices, spread
 #: Fixed patterns of the base kinds, in the order of the digest.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    # a run of digits that gives no match from its first digit gives none from a later one
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: Fixed patterns of further candidates.
@@ -87,6 +88,12 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def octets(text: str) -> bool:
+    """Whether all parts of a dotted number are at most 255, whatever their leading zeros."""
+    parts = [p.lstrip("0") or "0" for p in text.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in parts)
+
+
 def only_digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
@@ -119,8 +126,7 @@ def base_spans(text: str, failed: list[tuple[int, int, int]] | None = None) -> l
     if DIGIT.search(text) is None:
         return out
     for m in BASE["ip"].finditer(text):
-        good = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))
-        (out if good else failed).append((1, *m.span()))
+        (out if octets(m.group()) else failed).append((1, *m.span()))
     for m in BASE["card"].finditer(text):
         if (n := len(d := only_digits(m.group()))) >= 7:
             (out if 13 <= n <= 19 and luhn(d) else failed).append((2, *m.span()))
@@ -139,7 +145,7 @@ def checked(kind: str, text: str) -> bool:
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d)
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return octets(text)
     if kind == "phone":
         return 9 <= len(d) <= 15
     if kind == "iban":
@@ -153,8 +159,8 @@ def checked(kind: str, text: str) -> bool:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the looser patterns that touch no base span."""
-    out = []
-    taken = sorted((s, e) for _, s, e in base)
+    out: list[tuple[int, int, int]] = []
+    taken = bytearray()
     for kind, pattern in MORE.items():
         if kind == "email" and "at]" not in text and "at)" not in text:
             continue
@@ -162,9 +168,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if not any(s < y and x < e for x, y in taken):
+            if not taken:
+                taken = bytearray(len(text))
+                for _, x, y in base:
+                    taken[x:y] = b"\1" * (y - x)
+            if 1 not in taken[s:e]:
                 out.append((KINDS.index(kind), s, e))
-                taken.append((s, e))
+                taken[s:e] = b"\1" * (e - s)
     return out
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -28,7 +30,12 @@ HOMOGLYPHS = dict(zip("аесорхуіјѕԁһԛԝвмнткοανιρτυχκ"
 SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasil"))
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
-_DISGUISED = re.compile(r"[^\W\d_][^\W_@$!|]*[0134578@$!|]+(?=[^\W\d_])(?:[\w@$!|]*[^\W_])?|(?<![\w@$!|])[0134578@$|]+[^\W\d_][\w@$!|]*\w")
+#: Runs of letters, digits and signs with a substitute; only looked for at the start of a run, so long runs cost their length.
+_DISGUISED = re.compile(r"(?<![\w@$!|])[^\W0134578]*+[0134578@$!|][\w@$!|]*+")
+_LETTER = re.compile(r"[^\W\d_]")
+_BEFORE_LETTER = re.compile(r"[0134578@$!|](?=[^\W\d_])")
+_LEADING = re.compile(r"[0134578@$|]++[^\W\d_]")
+_TRAILING = "@$!|_"
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,6 +43,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LOOKALIKE = re.compile(f"[{''.join(HOMOGLYPHS)}]")
 
 
+def undisguised(run: str) -> str:
+    """A run with the letters that its substitutes stand for, if one stands before a letter and after another or at the start."""
+    if _LEADING.match(run):
+        start = 0
+    else:
+        letter = _LETTER.search(run)
+        if letter is None or _BEFORE_LETTER.search(run, letter.end()) is None:
+            return run
+        start = letter.start()
+    end = len(run.rstrip(_TRAILING))
+    return run[:start] + run[start:end].translate(_SUBSTITUTE) + run[end:]
+
+
 def folded(text: str) -> str:
     """A text in lower case and compatibility form, without hidden characters, homoglyphs and disguised letters."""
     text = text.lower()
@@ -46,7 +66,7 @@ def folded(text: str) -> str:
         if _LOOKALIKE.search(text):
             text = text.translate(_FOLD)
     if any(sign in text for sign in SUBSTITUTES):
-        text = _DISGUISED.sub(lambda m: m.group().translate(_SUBSTITUTE), text)
+        text = _DISGUISED.sub(lambda m: undisguised(m.group()), text)
     return text
 
 
@@ -55,6 +75,10 @@ def folded_words(text: str) -> list[str]:
     return _WORD.findall(folded(text))
 
 
+#: So many occurrences of an entry count for the score; more of the same word say no more.
+MOST = 8
+
+
 @dataclass
 class Lexicon:
     """Entries with weights, exception phrases, and the line from a normalised sum to a score."""
@@ -75,23 +99,26 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for number, entry in enumerate(self.weights):
-            found.add_word(f" {entry} ", (number, 0))
+            found.add_word(f" {entry} ", (number, len(entry) + 1))
         for phrase in self.exceptions:
-            inside = [i for i, entry in enumerate(self.weights) if f" {entry} " in f" {phrase} "]
-            if inside:
-                found.add_word(f" {phrase} ", (inside[0], -1))
+            if phrase not in self.weights:
+                found.add_word(f" {phrase} ", (-1, len(phrase) + 1))
         if len(found):
             found.make_automaton()
         return found
 
 
 def entry_counts(found: ahocorasick.Automaton, words: list[str]) -> Counter:
-    """Occurrences of each entry, those inside exception phrases taken off."""
-    out: Counter = Counter()
-    if words and len(found):
-        for _, (number, exception) in found.iter(f" {' '.join(words)} "):
-            out[number] += -1 if exception else 1
-    return out
+    """Occurrences of each entry that lie in no exception phrase; each occurrence counts or is cancelled once, by its place."""
+    if not words or not len(found):
+        return Counter()
+    matches = [(end - length, end, number) for end, (number, length) in found.iter(f" {' '.join(words)} ")]
+    spans = sorted(m[:2] for m in matches if m[2] < 0)
+    if not spans:
+        return Counter(number for *_, number in matches)
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    free = lambda start, end: not (at := bisect_right(starts, start)) or ends[at - 1] < end
+    return Counter(number for start, end, number in matches if number >= 0 and free(start, end))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -136,7 +163,7 @@ def fitted(hits: list[tuple[dict[int, int], int, int]], entries: int, steps: int
     """Logistic weights of the entries and the intercept, from (counts, words, label) rows; weights stay at or above 0."""
     row = np.array([i for i, (c, _, _) in enumerate(hits) for _ in c], np.int64)
     entry = np.array([e for c, _, _ in hits for e in c], np.int64)
-    value = np.array([min(max(v, 0), 8) / np.sqrt(max(n, 16)) * 4 for c, n, _ in hits for v in c.values()], float)
+    value = np.array([min(v, MOST) / np.sqrt(max(n, 16)) * 4 for c, n, _ in hits for v in c.values()], float)
     y = np.array([label for *_, label in hits], float)
     w, b, square, square_b = np.ones(entries), -3.0, np.full(entries, 1e-8), 1e-8
     for _ in range(steps):
@@ -214,7 +241,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """All columns of ``docs`` (text, ...) with score in (0, 1) and n_matches, from every whole text.
 
-    A null or empty text has no match and the score of the intercept. Only the text decides: equal texts score alike, null ids and
+    An entry counts for at most ``MOST`` occurrences. A null or empty text has no match and the score of the intercept. Folding and matching
+    take time in proportion to a text's length, however long its words are. Only the text decides: equal texts score alike, null ids and
     repeated rows keep a row each; columns of ``docs`` named score or n_matches are replaced; an empty table gives an empty result.
     """
     docs = spread(docs.drop("score", "n_matches"))
@@ -229,9 +257,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 text = folded(text or "")
                 words = _WORD.findall(text) if text and len(anywhere) and next(anywhere.iter(text), None) else []
                 counts = entry_counts(found, words)
-                total = sum(weights[e] * min(max(c, 0), 8) for e, c in counts.items()) * 4 / np.sqrt(max(len(words), 16))
+                total = sum(weights[e] * min(c, MOST) for e, c in counts.items()) * 4 / np.sqrt(max(len(words), 16))
                 scores.append(float(1 / (1 + np.exp(-min(max(total + lexicon.intercept, -30), 30)))))
-                matches.append(sum(max(c, 0) for c in counts.values()))
+                matches.append(sum(counts.values()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(matches, pa.int32())], [*batch.schema.names, "score", "n_matches"])
 
     return docs.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -147,6 +148,53 @@ def test_wrapper_finds_template_and_region(spark):
 
 
 def test_tree_matching():
-    a, b = (html_text.shape(html_text.parse(p)[0]) for p in ("<div><p>x</p><ul><li>1<li>2</ul></div>", "<div><ul><li>3</ul><p>y</p></div>"))
-    size, paths = html_text.matched(a, b)
-    assert size == 4 and set(paths) == {"", "/div", "/div/ul", "/div/ul/li"}
+    first, second = (html_text.parse(p)[0] for p in ("<div><p>x</p><ul><li>1<li>2</ul></div>", "<div><ul><li>3</ul><p>y</p></div>"))
+    a, b = html_text.shape(first), html_text.shape(second)
+    assert html_text.matched(a, b, {}) == 4
+    assert html_text.matched_paths(a, b) == {n.path for n in first if n.label in ("", "div", "ul", "li")}
+
+
+def test_odd_pages_take_linear_time():
+    rows = "".join(f"<tr><td class=c{i % 7}>{i}</td><td>b</td></tr>" for i in range(10_000))
+    nested = "".join(f"<div class=d{i}><p>{i}</p>" for i in range(3_000))
+    for source in ("<div>" * 100_000 + "x", "<div>x" * 50_000 + "</div>" * 50_000, f"<table>{rows}</table>", nested, "<div><b>" * 20_000 + "</span>" * 20_000):
+        began = time.time()
+        wrapper = html_text.induce([source, f"{source}y", f"<p>z</p>{source}", source.replace("c3", "c4x").replace("d5", "e5")])
+        html_text.main_text(source, wrapper | {"template": frozenset(wrapper["template"])})
+        assert time.time() - began < 20
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi></math> be.</p></article>") == "Let x be."
+
+
+def test_odd_texts_take_linear_time():
+    for text in ("1.1.1." + "0" * 5000 + "1", "7" * 1_000_000, "a" * 1_000_000, "aGVsbG8x" * 100_000, "a@b.co +1 (555) 123-4567 password: abcdefgh1 " * 6000, "1." * 300_000):
+        began = time.time()
+        base = pii.base_spans(text)
+        assert base == base_by_rule(text[:6000]) or len(text) > 6000
+        pii.candidates(text, base)
+        toxicity.folded_words(text)
+        assert time.time() - began < 10
+
+
+def test_exceptions_cancel_each_occurrence_once():
+    found = toxicity.Lexicon({"bad": 1.0, "luck": 1.0}, ("very bad", "bad luck")).automaton()
+    count = lambda text: dict(toxicity.entry_counts(found, text.split()))
+    assert count("very bad luck and then bad") == {0: 1}
+    assert count("bad bad luck") == {0: 1}
+    assert count("bad luck luck") == {1: 1}
+    assert count("very good") == {}
+
+
+def test_items_without_id_count_as_one(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two"), (None, "two three"), ("", "three"), ("a", "one")], "item_id string, text string")
+    for bound in (500_000, 0):
+        row = decontam.decontaminate(docs, items, broadcast_windows=bound).first()
+        assert (row.n_items, row.items_sha256) == (3, hashlib.sha256(b",a").hexdigest())
+
+
+@pytest.mark.parametrize("operator", [lambda d: toxicity.score_toxicity(d, toxicity.Lexicon({"bad": 1.0})), pii.find_personal_data, tokens.count_tokens])
+def test_odd_tables(spark, operator):
+    schema = "text string, doc_id long, score string, n_matches string, spans string, n_tokens string"
+    assert operator(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, 1, "x", "y", "z", "t"), ("bad bad", 2, "x", "y", "z", "t"), ("bad bad", 2, "x", "y", "z", "t"), ("", None, None, None, None, None), ("b4d " * 30_000, 3, None, None, None, None)]
+    assert operator(spark.createDataFrame(rows, schema)).count() == 5
