@@ -129,8 +129,8 @@ def alike(a: str, b: str, bits: int) -> Column:
     return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, words)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0]))) <= bits
 
 
-def bucket_links(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that connect the families (component) of each bucket (key, id, component, n_shingles, sketch) by near sketches.
+def bucket_links(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect the families (component) of each bucket (key, id, component) by near sketches (id, n_shingles, sketch).
 
     Blocks of a bucket are compared in tasks; only pairs that join families leave them, fewer than there are members.
     """
@@ -151,7 +151,7 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
                     out[1].append(int(max(ids[i], ids[j])))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    return in_blocks(members, "key").groupBy("key", "one", "other").applyInArrow(linked, "a long, b long")
+    return in_blocks(members, "key").join(sketches, "id").groupBy("key", "one", "other").applyInArrow(linked, "a long, b long")
 
 
 def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +190,7 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                     out[1].append(int(ids[j]))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    held = members.join(sets.withColumnRenamed("doc_id", "id"), "id")
-    return in_blocks(held, "family", block=512).groupBy("family", "one", "other").applyInArrow(linked, "a long, b long")
+    return in_blocks(members, "family", block=512).join(sets.withColumnRenamed("doc_id", "id"), "id").groupBy("family", "one", "other").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -237,8 +236,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     # every bucket's first and last document have met all its others by now; buckets with the same documents are compared once
     alike_buckets = placed.groupBy("key").agg(F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).filter("n > 2").groupBy("sum", "n").agg(F.min("key").alias("key")).select("key")
     grouped = placed.filter("doc_id <> lead AND doc_id <> last").select("key", "doc_id").join(alike_buckets, "key", "left_semi").join(families, "doc_id", "left")
-    across = stored(bucket_links(grouped.select("key", F.col("doc_id").alias("id"), F.coalesce("family", "doc_id").alias("component")).join(sketches.withColumnRenamed("doc_id", "id"), "id"), percent))
-    discard(placed)
+    grouped = stored(grouped.select("key", F.col("doc_id").alias("id"), F.coalesce("family", "doc_id").alias("component")))
+    across = stored(bucket_links(grouped, sketches.withColumnRenamed("doc_id", "id"), percent))
+    discard(placed, grouped)
     families = connected_components(proposed.union(across)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
     sets = stored(shingle_sets(docs.join(families.select("doc_id").distinct(), "doc_id", "left_semi"), k))

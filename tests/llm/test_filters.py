@@ -60,7 +60,7 @@ def base_by_rule(text):
     for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
         for m in re.finditer(pattern, text):
             s = m.group()
-            good = (True, kind == 1 and all(int(p) <= 255 for p in s.split(".")), 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), 9 <= len(digits(s)) <= 15)[kind]
+            good = (True, kind == 1 and all(not p[:-9].strip("0") and int(p[-9:]) <= 255 for p in s.split(".")), 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), 9 <= len(digits(s)) <= 15)[kind]
             if good:
                 out.append((kind, *m.span()))
     return sorted(out)
@@ -169,7 +169,7 @@ def test_odd_texts_take_linear_time():
     for text in ("1.1.1." + "0" * 5000 + "1", "7" * 1_000_000, "a" * 1_000_000, "aGVsbG8x" * 100_000, "a@b.co +1 (555) 123-4567 password: abcdefgh1 " * 6000, "1." * 300_000):
         began = time.time()
         base = pii.base_spans(text)
-        assert base == base_by_rule(text[:6000]) or len(text) > 6000
+        assert len(text) > 6000 or sorted(base) == base_by_rule(text)
         pii.candidates(text, base)
         toxicity.folded_words(text)
         assert time.time() - began < 10
