@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# An octet, as a pattern.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 #: Word borders that treat only ASCII letters, digits and the underscore as word characters, so that a term may touch CJK text.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -18,7 +18,17 @@ CJK = "[一-龥]"
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    """Whether one of the conditions holds, as a balanced tree, so that long lists stay shallow."""
+    if len(conditions) > 1:
+        half = len(conditions) // 2
+        return any_of(conditions[:half]) | any_of(conditions[half:])
+    return conditions[0] if conditions else F.lit(False)
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """A frame with more columns, each computed once a row however often later expressions and filters use it."""
+    fields = [value.alias(name) for name, value in columns.items()]
+    return df.select(*df.columns, F.inline(F.array(F.struct(*fields))))
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -43,9 +53,9 @@ def occurrences(text: Column, word: Column | str) -> Column:
     return F.when(F.length(word) > 0, ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def first_of(rules: list[tuple[str, Column]], default: str) -> Column:
+def first_of(rules: list[tuple[str, Column]], default: str | None) -> Column:
     """The name of the first rule that holds."""
-    out = F.lit(default)
+    out = F.lit(default).cast("string")
     for name, condition in reversed(rules):
         out = F.when(condition, F.lit(name)).otherwise(out)
     return out

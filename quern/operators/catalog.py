@@ -108,6 +108,11 @@ def newest(log: DataFrame, rows: int = 1000) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("id")).limit(rows)
 
 
+def append_query(log: DataFrame, entries: DataFrame, rows: int = 1000) -> DataFrame:
+    """The query log with new entries, cut to its newest rows."""
+    return newest(log.unionByName(entries, allowMissingColumns=True), rows)
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """document_id, total, parents, children, normal, requiring and embedded chunks."""
     kind = F.col("chunk_type")

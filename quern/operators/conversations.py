@@ -85,7 +85,7 @@ def retain(conversations: DataFrame, messages: DataFrame, keep: int = 20, users:
 
 
 def newest_messages(messages: DataFrame, keep: int = 500) -> DataFrame:
-    """The newest messages of each conversation's user table, by time, then id."""
+    """The newest ``keep`` messages of the whole table, by time, then id."""
     return messages.orderBy(F.desc("created_at"), F.desc("id")).limit(keep)
 
 
@@ -125,10 +125,3 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     for more in counts[1:]:
         out = out.unionByName(more)
     return out
-
-
-def violations(bundle: DataFrame, required: tuple[str, ...] = ("version", "user_id", "data"), major: int = 1) -> DataFrame:
-    """How many rows of a bundle lack a required field or have another major version."""
-    missing = [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") if c in bundle.columns else F.count(F.lit(1)).alias(f"missing_{c}") for c in required]
-    version = F.count_if(F.split("version", r"\.")[0].cast("int") != major) if "version" in bundle.columns else F.count(F.lit(1))
-    return bundle.agg(*missing, version.alias("other_version"))

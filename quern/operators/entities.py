@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_of, trimmed
+from ..functions.text import any_of, first_of, trimmed
 
+# Forms of serials, hosts, uplink switches and addresses.
 SERIAL = r"(?<![A-Za-z0-9_])(?i:[A-Z]{3}[A-Z0-9]{8,12})(?![A-Za-z0-9_])"
 HOST = r"MDC-[A-Z0-9-]+-GPU-\d+"
 UPLINK = r"MDC-[A-Z0-9-]+-IBLF-\d+"
@@ -37,16 +38,30 @@ def lookup_list(lists: DataFrame) -> DataFrame:
     return parts.withColumn("sn", F.upper(trimmed(F.col("sn")))).filter("sn <> ''")
 
 
-def line_serials(chunks: DataFrame) -> DataFrame:
-    """chunk_order, line, sn and rest (what follows the serial on its line) for every serial-like word of every line."""
-    lines = chunks.select("chunk_order", "content", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("line", "value"))
-    named = lines.filter(F.upper("value").rlike(HOST)).withColumn("sn", F.explode(serials(F.col("value"))))
-    return named.withColumn("rest", F.substring(F.col("value"), F.expr("instr(upper(value), sn)"), F.length("value")))
+def last_address(text: Column, prefixes: tuple[str, ...]) -> Column:
+    """The last address of a text that starts with one of the prefixes, else an empty text."""
+    fits = lambda a: any_of([a.startswith(p) for p in prefixes])
+    return F.coalesce(F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), fits), F.lit(-1)), F.lit(""))
 
 
-def serial_hosts(chunks: DataFrame) -> DataFrame:
-    """sn and hostname: the first host after the serial on a line, of the first chunk that has one."""
-    found = line_serials(chunks).withColumn("hostname", F.regexp_extract("rest", f"(?i)({HOST})", 1)).filter("hostname <> ''")
+def line_serials(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sn, chunk_order, line, rest (what follows the serial on its line) and the chunk's last_out and last_in, the last addresses
+    of the two management networks, for every serial of ``wanted`` (sn, upper case) on every line that names a host.
+
+    Serials may have any shape: they are looked for among runs of letters, digits and underscores and among what stands between
+    white space and commas.
+    """
+    dated = chunks.select("chunk_order", "content", last_address(F.col("content"), OUT_OF_BAND).alias("last_out"), last_address(F.col("content"), IN_BAND).alias("last_in"))
+    lines = dated.select("chunk_order", "last_out", "last_in", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("line", "value"))
+    words = F.concat(F.regexp_extract_all(F.upper("value"), F.lit("[A-Z0-9_]+"), F.lit(0)), F.split(F.upper("value"), r"[\s,]+"))
+    named = lines.filter(F.upper("value").rlike(HOST)).withColumn("sn", F.explode(F.array_distinct(words)))
+    found = named.join(wanted.select("sn").distinct(), "sn", "left_semi")
+    return found.withColumn("rest", F.substring(F.col("value"), F.expr("instr(upper(value), sn)"), F.length("value"))).drop("value")
+
+
+def serial_hosts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sn and hostname of wanted serials: the first host after the serial on a line, of the first chunk that has one."""
+    found = line_serials(chunks, wanted).withColumn("hostname", F.regexp_extract("rest", f"(?i)({HOST})", 1)).filter("hostname <> ''")
     return found.groupBy("sn").agg(F.min_by("hostname", F.struct("chunk_order", "line")).alias("hostname"))
 
 
@@ -61,10 +76,10 @@ def host_uplinks(chunks: DataFrame) -> DataFrame:
 def switch_lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """position, sn, hostname and iblfs (sorted; null hostname: not found) of every row of ``wanted`` (position, sn).
 
-    Repeated serials keep their rows. Serials are compared as whole words, not as parts of longer ones.
+    Repeated serials keep their rows. Serials of any shape are compared as whole words, not as parts of longer ones.
     """
     switches = host_uplinks(chunks).groupBy("hostname").agg(F.array_sort(F.collect_set("iblf")).alias("iblfs"))
-    found = wanted.join(serial_hosts(chunks), "sn", "left").join(switches, "hostname", "left")
+    found = wanted.join(serial_hosts(chunks, wanted), "sn", "left").join(switches, "hostname", "left")
     return found.select("position", "sn", "hostname", F.when(F.col("hostname").isNotNull(), F.coalesce("iblfs", F.array().cast("array<string>"))).alias("iblfs"))
 
 
@@ -88,13 +103,12 @@ def address_lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     management network in the chunk. The first chunk that has the serial with a host decides.
     """
     full = rf"(?i)({HOST})[^,]*,([^,]*),({ADDRESS}),({ADDRESS})"
-    places = line_serials(chunks).withColumn("hostname", F.regexp_extract("rest", f"(?i)({HOST})", 1)).filter("hostname <> ''")
-    last = lambda prefixes: F.coalesce(F.element_at(F.filter(F.regexp_extract_all("content", F.lit(ADDRESS), F.lit(0)), lambda a: a.startswith(prefixes[0]) | a.startswith(prefixes[1])), -1), F.lit(""))
+    places = line_serials(chunks, wanted).withColumn("hostname", F.regexp_extract("rest", f"(?i)({HOST})", 1)).filter("hostname <> ''")
     with_full = places.withColumns({"whole": F.col("rest").rlike(full), "out_full": F.regexp_extract("rest", full, 3), "in_full": F.regexp_extract("rest", full, 4)})
     # inside the deciding chunk a full line comes first
     order = Window.partitionBy("sn").orderBy("chunk_order", F.desc("whole"), "line")
     best = with_full.withColumn("turn", F.row_number().over(order)).filter("turn = 1")
-    resolved = best.select("sn", "hostname", F.when(F.col("whole"), F.col("out_full")).otherwise(last(OUT_OF_BAND)).alias("outband"), F.when(F.col("whole"), F.col("in_full")).otherwise(last(IN_BAND)).alias("inband"))
+    resolved = best.select("sn", "hostname", F.when(F.col("whole"), F.col("out_full")).otherwise(F.col("last_out")).alias("outband"), F.when(F.col("whole"), F.col("in_full")).otherwise(F.col("last_in")).alias("inband"))
     return wanted.select("sn").distinct().join(resolved, "sn", "left")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import contains_any, occurrences
+from ..functions.text import contains_any, occurrences, staged
 
 #: Constant of reciprocal rank fusion.
 RRF = 60
@@ -68,23 +68,28 @@ def boost_of(content: Column, query: Column, command: Column, concept: Column, t
 def keyword_search(chunks: DataFrame, query: str, limit: int = 30, expansions: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """The ``limit`` best chunks (chunk_id, content, filename) for one query, with score.
 
-    The query's terms become literal column expressions, so scoring is one projection and the result one ordered take.
+    The query's terms become literal column expressions, so scoring is one projection and the result one ordered take. The text is
+    lower-cased once and each term counted once.
     """
     terms = expanded_terms(query, expansions)
     flags = query_flags(query)
-    content = F.lower("content")
+    lowered = staged(chunks, _content=F.lower("content"), _name=F.lower(F.coalesce("filename", F.lit(""))))
+    content = F.col("_content")
+    counts = {f"_n{i}": occurrences(content, term) for i, term in enumerate(terms)}
+    counted = staged(lowered, **counts) if counts else lowered
     points = F.when(F.contains(content, F.lit(query.lower())), F.lit(10.0)).otherwise(F.lit(0.0))
     matched = F.lit(0)
-    score = reduce(lambda a, t: a + F.when(F.contains(F.lower(F.coalesce("filename", F.lit(""))), F.lit(t)), F.lit(2.0)).otherwise(F.lit(0.0)), terms, F.lit(0.0)) + points
-    for term in terms:
-        count = occurrences(content, term)
+    score = reduce(lambda a, t: a + F.when(F.contains("_name", F.lit(t)), F.lit(2.0)).otherwise(F.lit(0.0)), terms, F.lit(0.0)) + points
+    for name, term in zip(counts, terms):
+        count = F.col(name)
         weight = 3.0 if re.fullmatch("[a-z0-9]+", term) else 1.0
         score = score + F.when(count > 0, (F.lit(1.0) + F.log(count.cast("double"))) * weight).otherwise(F.lit(0.0))
-        matched = matched + F.when(F.contains(content, F.lit(term)), 1).otherwise(0)
-    scored = chunks.withColumn("base", score + F.when(matched > 1, matched * 1.5).otherwise(F.lit(0.0)))
+        matched = matched + F.when((count > 0) | F.lit(term == ""), 1).otherwise(0)
+    based = staged(counted, _score=score, _matched=matched)
+    scored = staged(based, _base=F.col("_score") + F.when(F.col("_matched") > 1, F.col("_matched") * 1.5).otherwise(F.lit(0.0)))
     boost = boost_of(content, F.lit(query.lower()), *(F.lit(flags[k]) for k in ("command", "concept", "trouble")))
-    total = F.col("base") + F.when(F.col("base") > 2, boost).otherwise(F.lit(0.0))
-    return scored.withColumn("score", total).filter("score > 0").drop("base").orderBy(F.desc("score"), "chunk_id").limit(limit)
+    found = staged(scored, score=F.col("_base") + F.when(F.col("_base") > 2, boost).otherwise(F.lit(0.0)))
+    return found.filter("score > 0").select(*chunks.columns, "score").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def term_matches(chunks: DataFrame, patterns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import CIDR, IP_RANGE, IPV4, LEFT, RIGHT, contains_any, first_of, held, trimmed, words_of
+from ..functions.text import CIDR, IP_RANGE, IPV4, LEFT, RIGHT, contains_any, first_of, held, staged, trimmed, words_of
 
 
 def query_intent(queries: DataFrame) -> DataFrame:
@@ -16,21 +16,25 @@ def query_intent(queries: DataFrame) -> DataFrame:
     keyword and 0.5 a pattern, times its weight; the intent of the last two turns of history adds 0.2 if it has scored. Intents
     at second and third place above 0.6 of the best are sub-intents. Nothing scored is "general" with confidence 0.5.
     """
-    q = F.lower(F.coalesce("query", F.lit("")))
     if "history" not in queries.columns:
         queries = queries.withColumn("history", F.array().cast("array<string>"))
     turns = F.coalesce("history", F.array().cast("array<string>"))
     recent = F.lower(F.array_join(F.slice(turns, F.greatest(F.size(turns) - 1, F.lit(1)), F.lit(2)), " "))
-    context = F.lit(None).cast("string")
-    for name, pattern in reversed(v.CONTEXT_INTENTS):
-        context = F.when(recent.rlike(pattern), F.lit(name)).otherwise(context)
+    read = staged(queries, _q=F.lower(F.coalesce("query", F.lit(""))), _recent=recent)
+    q = F.col("_q")
+    context = first_of([(name, F.col("_recent").rlike(pattern)) for name, pattern in v.CONTEXT_INTENTS], None)
+    counted = {"_context": context}
+    for place, (_, _, keywords, patterns) in enumerate(v.INTENTS):
+        counted[f"_words{place}"] = held(q, keywords)
+        counted[f"_hits{place}"] = sum((q.rlike(p).cast("int") for p in patterns[1:]), q.rlike(patterns[0]).cast("int"))
+    counts = staged(read, **counted)
     scored = []
-    for place, (name, weight, keywords, patterns) in enumerate(v.INTENTS):
-        words = held(q, keywords)
-        hits = sum((q.rlike(p).cast("int") for p in patterns[1:]), q.rlike(patterns[0]).cast("int"))
+    for place, (name, weight, _, _) in enumerate(v.INTENTS):
+        words, hits = F.col(f"_words{place}"), F.col(f"_hits{place}")
         own = (F.size(words) * 0.3 + hits * 0.5) * weight
-        reasons = F.filter(F.array(F.when(F.size(words) > 0, F.concat(F.lit("keywords: "), F.array_join(words, ", "))), F.when(hits > 0, F.concat(F.lit("patterns: "), hits.cast("string"))), F.when((own > 0) & (context == name), F.lit("context"))), lambda r: r.isNotNull())
-        total = F.round(own + F.when((own > 0) & (context == name), 0.2).otherwise(0.0), 9)
+        backed = (own > 0) & (F.col("_context") == name)
+        reasons = F.filter(F.array(F.when(F.size(words) > 0, F.concat(F.lit("keywords: "), F.array_join(words, ", "))), F.when(hits > 0, F.concat(F.lit("patterns: "), hits.cast("string"))), F.when(backed, F.lit("context"))), lambda r: r.isNotNull())
+        total = F.round(own + F.when(backed, 0.2).otherwise(0.0), 9)
         scored.append(F.struct((-total).alias("down"), F.lit(place).alias("place"), F.lit(name).alias("name"), total.alias("score"), reasons.alias("reasons")))
     ranked = F.array_sort(F.filter(F.array(*scored), lambda s: s["score"] > 0))
     top = F.col("ranked")[0]
@@ -38,7 +42,7 @@ def query_intent(queries: DataFrame) -> DataFrame:
     points = (F.length(text) > 50).cast("int") + (F.size(F.split(text, r"\s+")) > 10).cast("int") + text.rlike(v.CONDITION_PATTERN).cast("int") + text.rlike(v.PARAMETER_PATTERN).cast("int")
     some = F.size("ranked") > 0
     return (
-        queries.withColumn("ranked", ranked)
+        staged(counts, ranked=ranked)
         .withColumns(
             {
                 "intent": F.when(some, top["name"]).otherwise("general"),
@@ -51,7 +55,7 @@ def query_intent(queries: DataFrame) -> DataFrame:
                 "complexity": F.when(points >= 3, "complex").when(points >= 1, "medium").otherwise("simple"),
             }
         )
-        .drop("ranked")
+        .drop("ranked", "_q", "_recent", *counted)
     )
 
 

@@ -65,7 +65,7 @@ def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as device lines, a chunk for each nation: serial, host, alias and two addresses; every third line has the serial
+    """Customers as device lines, a chunk for each nation and thousand of customer numbers: serial, host, alias and two addresses; every third line has the serial
     and host only; every second host has an uplink line, by its nation."""
     c = table(spark, sf_dir, "customer")
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
@@ -75,18 +75,18 @@ def device_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.concat(serial, F.lit(","), serial, F.lit(","), host, F.lit(",alias,"), address(8), F.lit(","), address(0))
     line = F.when(key % 3 == 0, F.concat(serial, F.lit(" "), host)).otherwise(full)
     uplink = F.when(key % 2 == 0, F.concat(F.lit("\n"), host, F.lit(",1,a,b,c,d,MDC-XX1E-A"), nation.cast("string"), F.lit("-IBLF-"), (key % 5).cast("string"), F.lit(",1/"), (key % 8).cast("string"))).otherwise("")
-    lines = c.select(nation.alias("chunk_order"), F.struct(key.alias("key"), F.concat(line, uplink).alias("line")).alias("x"))
+    lines = c.select((nation.cast("long") * 10_000_000_000 + F.floor(key / 1000)).alias("chunk_order"), F.struct(key.alias("key"), F.concat(line, uplink).alias("line")).alias("x"))
     return lines.groupBy("chunk_order").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("content"))
 
 
 def link_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as link lines between spine and core devices, a chunk for each day; every other line names the core first."""
+    """Orders as link lines between spine and core devices, a chunk for each thousand order numbers; every other line names the core first."""
     o = table(spark, sf_dir, "orders")
     spine = F.concat(F.lit("POD"), (F.col("o_custkey") % 8).cast("string"), F.lit("-SPINE"), (F.col("o_custkey") % 5).cast("string"))
     core = F.concat(F.lit("CORE"), (F.col("o_custkey") % 3).cast("string"))
     a, b = F.concat(F.lit("p"), (F.col("o_orderkey") % 16).cast("string")), F.concat(F.lit("q"), (F.col("o_custkey") % 16).cast("string"))
     line = F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws(",", spine, a, core, b)).otherwise(F.concat_ws(",", core, b, spine, a))
-    lines = o.select(F.col("o_orderdate").alias("chunk_order"), F.struct("o_orderkey", line.alias("line")).alias("x"))
+    lines = o.select(F.floor(F.col("o_orderkey") / 1000).alias("chunk_order"), F.struct("o_orderkey", line.alias("line")).alias("x"))
     return lines.groupBy("chunk_order").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("content"))
 
 

@@ -53,12 +53,14 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reassemble_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks of their source: every fourth is the parent of the next three."""
+    """Every document from the lines of its whole text: of eight lines, the first two are parents of the even and odd ones below."""
     docs = b.table(spark, sf_dir, "documents")
-    top = F.col("doc_id") - F.pmod("doc_id", F.lit(80)) + F.pmod("doc_id", F.lit(20))
-    chunks = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"), F.substring("text", 1, 40).alias("content"), F.when(top != F.col("doc_id"), top).alias("parent_id"))
-    owners = docs.select(F.col("source").alias("document_id")).distinct().withColumn("filename", F.col("document_id"))
-    return chunking.reassemble(owners, chunks)
+    place = lambda n: F.concat_ws("-", "document_id", n.cast("string"))
+    lines = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+    index = F.col("chunk_index")
+    top = index - F.pmod(index, F.lit(8)) + F.pmod(index, F.lit(2))
+    chunks = lines.select(place(index).alias("id"), "document_id", "chunk_index", "content", F.when(top != index, place(top)).alias("parent_id"))
+    return chunking.reassemble(docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename")), chunks)
 
 
 def reassemble_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,14 +106,13 @@ def switch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = e.address_lookup(b.device_chunks(spark, sf_dir), wanted(spark, sf_dir))
-    full = F.pmod(F.substring("sn", 6, 9).cast("long"), F.lit(3)) != 0
-    return found.filter(F.col("hostname").isNull() | full).select("sn", "hostname", "outband", "inband")
+    """All serials, with those whose line has only serial and host."""
+    return e.address_lookup(b.device_chunks(spark, sf_dir), wanted(spark, sf_dir)).select("sn", "hostname", "outband", "inband")
 
 
 def address_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All serials, with those whose line has only serial and host."""
-    return e.address_lookup(b.device_chunks(spark, sf_dir), wanted(spark, sf_dir)).select("sn", "hostname", "outband", "inband")
+    """The same rows as ``address_lookup``, under the name used while that query left some out."""
+    return address_lookup(spark, sf_dir)
 
 
 def link_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,22 +186,26 @@ _WANTED = """wanted AS (SELECT c_custkey, c_custkey * 10 + p AS position, 'AAA1X
       FROM customer, (VALUES (1), (2)) v(p) WHERE p = 1 OR c_custkey % 6 = 0)"""
 _SWITCHES = f"""WITH {_WANTED}, found AS (SELECT w.position, w.sn, CASE WHEN known THEN {_HOST} END AS hostname,
       CASE WHEN NOT known THEN NULL WHEN c_custkey % 2 = 0 THEN 'MDC-XX1E-A' || c_nationkey || '-IBLF-' || (c_custkey % 5) ELSE '' END AS iblfs FROM wanted w JOIN customer USING (c_custkey))"""
+_ADDRESSES = f"""WITH {_WANTED}, last AS (SELECT c_nationkey, c_custkey // 1000 AS thousand, max(c_custkey) % 250 AS part FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1, 2)
+      SELECT DISTINCT w.sn, CASE WHEN known THEN {_HOST} END AS hostname, CASE WHEN known THEN coalesce('10.240.8.' || (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 250 ELSE part END), '') END AS outband,
+      CASE WHEN known THEN coalesce('10.240.0.' || (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 250 ELSE part END), '') END AS inband
+      FROM wanted w JOIN (SELECT *, c_custkey // 1000 AS thousand FROM customer) c USING (c_custkey) LEFT JOIN last USING (c_nationkey, thousand)"""
 _LINKS = """links AS (SELECT DISTINCT 'spine-core' AS layer, 'POD' || (o_custkey % 8) || '-SPINE' || (o_custkey % 5) AS source_device, 'p' || (o_orderkey % 16) AS source_port, 'CORE' || (o_custkey % 3) AS dest_device, 'q' || (o_custkey % 16) AS dest_port FROM orders)"""
 _ADDRESS = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
 
 SQL = {
     "chunk_sections": "SELECT doc_id AS document_id, lang || ' > ' || source AS breadcrumbs, regexp_replace('## ' || source || chr(10) || text, '\\n\\n\\n+', chr(10) || chr(10), 'g') AS content FROM documents WHERE length(trim('## ' || source || chr(10) || text)) >= 50",
     "chunk_paragraph": "SELECT doc_id || '-0' AS id, doc_id AS document_id, 0 AS chunk_index, ceil(round(length(text) * 0.3::DOUBLE, 6))::BIGINT AS token_count, trim(text) AS content FROM documents WHERE trim(text) <> ''",
-    "reassemble_document": """WITH c AS (SELECT doc_id, source, substr(text, 1, 40) AS content, doc_id - doc_id % 80 + doc_id % 20 AS top FROM documents),
-      tops AS (SELECT a.source, a.doc_id, concat_ws(chr(10) || chr(10), a.content, (SELECT string_agg(b.content, chr(10) || chr(10) ORDER BY b.doc_id) FROM c b WHERE b.top = a.doc_id AND b.doc_id <> a.doc_id)) AS part FROM c a WHERE a.top = a.doc_id)
-      SELECT source AS document_id, '# ' || source || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM tops GROUP BY 1""",
+    "reassemble_document": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+      bodies AS (SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY i // 8, i % 2, i) AS body FROM l GROUP BY 1)
+      SELECT doc_id AS document_id, concat_ws(chr(10) || chr(10), '# ' || source, body) AS markdown FROM documents LEFT JOIN bodies USING (doc_id)""",
     "entity_extract": f"""SELECT * FROM (SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b[A-Z]{{3}}[A-Z0-9]{{8,12}}\\b'), lambda x: upper(x)))) AS n_serials, len(list_distinct(regexp_extract_all(text, '{_ADDRESS}'))) AS n_addresses FROM documents) WHERE n_serials > 0 OR n_addresses > 0""",
     "page_links": "SELECT host, count(DISTINCT target) AS n_targets, count(*) AS n_links FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) GROUP BY 1",
     "serial_switches": f"{_SWITCHES} SELECT * FROM found",
     "switch_groups": f"{_SWITCHES} SELECT iblfs, count(*) AS n FROM found WHERE hostname IS NOT NULL GROUP BY 1",
     "switch_summary": f"{_SWITCHES} SELECT count(*) AS total, count(hostname) AS found, count(*) FILTER (hostname IS NULL) AS not_found, count(DISTINCT iblfs) FILTER (hostname IS NOT NULL) AS groups FROM found",
-    "address_lookup": f"""WITH {_WANTED} SELECT DISTINCT w.sn, CASE WHEN known THEN {_HOST} END AS hostname, CASE WHEN known THEN '10.240.8.' || (c_custkey % 250) END AS outband, CASE WHEN known THEN '10.240.0.' || (c_custkey % 250) END AS inband
-      FROM wanted w JOIN customer USING (c_custkey) WHERE NOT known OR c_custkey % 3 <> 0""",
+    "address_lookup": _ADDRESSES,
+    "address_lookup_all": _ADDRESSES,
     "link_topology": f"WITH {_LINKS} SELECT * FROM links",
     "topology_devices": f"""WITH {_LINKS}, d AS (SELECT DISTINCT 'spine' AS tier, source_device AS device FROM links UNION SELECT 'core', dest_device FROM links) SELECT tier, count(*) AS n, string_agg(device, ',' ORDER BY device) AS devices FROM d GROUP BY 1""",
     "scan_udf": "SELECT doc_id AS chunk_id, len(string_split(text, ' ')) AS n_words FROM documents",

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, conversations, embedding, entities, grounding, understanding
@@ -132,7 +133,40 @@ def test_purge_then_restore_gives_back_all(spark):
 
 def test_bundle_violations(spark):
     bundle = spark.createDataFrame([("1.2", "u", "{}"), ("2.0", None, "{}")], "version string, user_id string, data string")
-    assert tuple(conversations.violations(bundle).first()) == (0, 1, 0, 1)
+    assert tuple(tables.violations(bundle).first()) == (0, 1, 0, 1)
+
+
+def test_bundle_round_trip(spark, tmp_path):
+    schemas = {"conversations": "id int, user_id string", "messages": "id int, conversation_id int"}
+    rows = {"conversations": [(1, "a"), (2, None)], "messages": [(7, 1)]}
+    saved = {n: spark.createDataFrame(r, schemas[n]) for n, r in rows.items()}
+    tables.export_bundle(saved, str(tmp_path), user_id="a")
+    back = tables.read_bundle(spark, str(tmp_path), schemas)
+    assert {n: sorted(map(tuple, d.collect())) for n, d in back.items()} == rows
+    with pytest.raises(ValueError, match="missing_chunks"):
+        tables.read_bundle(spark, str(tmp_path), schemas | {"chunks": "id int"})
+    with pytest.raises(ValueError, match="other_version"):
+        tables.read_bundle(spark, str(tmp_path), schemas, major=2)
+    tables.export_bundle(saved, str(tmp_path))
+    with pytest.raises(ValueError, match="missing_user_id"):
+        tables.read_bundle(spark, str(tmp_path), schemas)
+
+
+def test_query_log_keeps_the_newest(spark):
+    log = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, query string, ts int")
+    more = spark.createDataFrame([(3, "c", 2), (4, "d", 0)], "id int, query string, ts int")
+    assert [r.id for r in catalog.append_query(log, more, 2).collect()] == [3, 2]
+    assert [r.id for r in catalog.append_query(log, more.limit(0)).collect()] == [2, 1]
+
+
+def test_serials_of_any_shape(spark):
+    content = "1234567890 x MDC-XX1E-A1-GPU-7\nab-12,MDC-XX1E-A1-GPU-8\nQQ1234567890 MDC-XX1E-A1-GPU-9\n10.240.8.1 10.240.0.2 10.240.9.3"
+    chunks = spark.createDataFrame([(1, content), (2, "AB-12 MDC-XX1E-A1-GPU-1"), (3, None), (4, "")], "chunk_order int, content string")
+    wanted = entities.lookup_list(spark.createDataFrame([("1234567890, ab-12 34567890 ",), (None,)], "raw string"))
+    found = {r.sn: (r.hostname, r.iblfs) for r in entities.switch_lookup(chunks, wanted).collect()}
+    assert found == {"1234567890": ("MDC-XX1E-A1-GPU-7", []), "AB-12": ("MDC-XX1E-A1-GPU-8", []), "34567890": (None, None)}
+    addresses = {r.sn: (r.outband, r.inband) for r in entities.address_lookup(chunks, wanted).collect()}
+    assert addresses == {"1234567890": ("10.240.9.3", "10.240.0.2"), "AB-12": ("10.240.9.3", "10.240.0.2"), "34567890": (None, None)}
 
 
 def test_grounding(spark):
