@@ -198,3 +198,27 @@ def test_odd_tables(spark, operator):
     assert operator(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, 1, "x", "y", "z", "t"), ("bad bad", 2, "x", "y", "z", "t"), ("bad bad", 2, "x", "y", "z", "t"), ("", None, None, None, None, None), ("b4d " * 30_000, 3, None, None, None, None)]
     assert operator(spark.createDataFrame(rows, schema)).count() == 5
+
+
+def test_html_layouts_of_a_host(spark):
+    """A layout that a sample of the host may miss, and a notice on few pages, are learned from pages of their own layout."""
+
+    def page(i, kind):
+        body = f"<p>Own words of page {i} number {i * 7}.</p><p>More of {i} {i * 13}.</p>"
+        if kind == "rare":
+            return f"<body><div class='wrap'><div class='u1'>Same top line</div><div class='u2'>{body}</div></div></body>"
+        notice = "<div class='n9'>We moved to a new place</div>" if kind == "notice" else ""
+        return f"<body>{notice}<div class='shell'><div class='t1'>Standing line</div><div class='t2'>{body}</div></div></body>"
+
+    kinds = ["plain"] * 80 + ["rare"] * 8 + ["notice"] * 8
+    rows = [(i, "http://many.example/x", page(i, kind)) for i, kind in enumerate(kinds)] + [(900, "http://many.example/e", None), (901, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("layout", F.lit("x"))
+    want = {i: f"Own words of page {i} number {i * 7}.\nMore of {i} {i * 13}." for i in range(len(kinds))} | {900: "", 901: ""}
+    for bound in (16_000_000, 0):
+        assert {r.page_id: r.text for r in html_text.extract_main_text(pages, broadcast_bytes=bound).collect()} == want
+
+
+def test_html_layout_is_linear():
+    for source in ("<div " * 200_000, "<div>" * 200_000, "<div class='" * 100_000, "</div>" * 200_000):
+        assert isinstance(html_text.layout(source), int)
+    assert html_text.layout("<div class='a1'>x</div>") == html_text.layout("<DIV class=a2><p>y</DIV>") != html_text.layout("<div class='b'>x</div>")
