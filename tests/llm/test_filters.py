@@ -20,6 +20,19 @@ def test_token_counts_equal_the_library(docs, corpus):
     counter = tokens.MergeCounter(str(public_tokenizers.path("word_bpe_49k.json")))
     for text in ("<|endoftext|>hi<|startoftext|>", "<|ENDOFTEXT|>", "ΟΔΟΣ İ ẞ ﬁ", "I'll don'T 12½", "漢字テスト 😀", "é" * 50, "ab" * 2000, "\x85\xa0 q"):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    odd = [*tokens.NEWER_LOWER, *(end for part in tokens._RANGES for end in part)]
+    for c in sorted({c + d for c in odd for d in (-1, 0, 1)}):
+        assert library.normalizer.normalize_str(chr(c)) == counter.normal(chr(c)), hex(c)
+        for text in (f"a{chr(c)}B", f"{chr(c)}{chr(c)} .{chr(c)}!", f"9{chr(c)}'s"):
+            assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(c)
+
+
+def test_token_counts_of_odd_rows(spark):
+    rows = [(1, None), (1, ""), (None, "two words"), (None, "two words"), (2, "x" * 300_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("other"))
+    found = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens > 0, r.over_limit) for r in tokens.count_tokens(frame).collect())
+    assert found == [(0, 9, True, False), (0, 9, True, False), (1, 0, False, False), (1, 0, False, False), (2, 300_000, True, True)]
+    assert tokens.count_tokens(frame.limit(0)).count() == 0
 
 
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "short item"), (3, None), (4, "..."), (5, "SHORT, item!"), (6, "x1 x1 x1 x1 x1 x1 x1 x1 x1 x1")]
