@@ -112,3 +112,22 @@ def test_pipeline_stages(spark, smallest):
     mix = corpus_pipeline.STAGES[-1][1](spark, docs, smallest).collect()
     assert {r.doc_id for r in mix} <= set(uncontaminated) and all(0 < r.taken <= 2 * r["size"] for r in mix)
     assert sorted(map(tuple, mix)) == sorted(map(tuple, corpus_pipeline.run(spark, smallest).collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, smallest):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, source string, lang string, n_chars int, score double, kept boolean"
+    plain = "several ordinary words that stand in one document and nowhere else in this table"
+    rows = [(1, None, "a", "en", 0, 1.0, False), (2, "", None, "en", 0, 1.0, False), (None, plain[8:], "a", None, 9, None, None), (4, plain.upper(), "b", "en", 9, 0.0, True)]
+    docs, want = spark.createDataFrame(rows, schema), sorted(rows, key=str)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        if stage is not corpus_pipeline.drop_repeated_lines:
+            assert sorted(map(tuple, stage(spark, docs, smallest).collect()), key=str) == want
+        none = stage(spark, docs.limit(0), smallest)
+        assert none.columns == docs.columns and not none.collect()
+    twice = spark.createDataFrame([rows[3], rows[3], (9, plain, "b", "en", 9, 0.0, True)], schema)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, twice, smallest).collect()] == [4, 4]
+    mixed = corpus_pipeline.mix(spark, docs.select("doc_id", "text", "source", "lang", "n_chars"), smallest).collect()
+    assert mixed and all(r.size > 0 and r.taken <= 2 * r.size for r in mixed)
+    assert not corpus_pipeline.mix(spark, docs.limit(0), smallest).collect()
