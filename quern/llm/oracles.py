@@ -68,5 +68,85 @@ FROM worded d LEFT JOIN hit_words w ON w.doc_id = d.id LEFT JOIN hit_items h ON
 """
 
 
+OP11_LANGUAGE_ID = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id, text, lang,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, ignored: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM documents
+), split AS (
+  SELECT row, lang, xor(crc, 4294967295) % 4 = 2 AS held_out, ' ' || lower(unnest(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*'))) || ' ' AS word FROM rows
+), words AS (
+  SELECT row, lang, held_out, word, count(*) AS n FROM split GROUP BY ALL
+), runs AS (
+  SELECT row, lang, held_out, n, word, unnest(range(1, length(word) + 1)) AS i FROM words
+), grams AS (
+  SELECT row, lang, held_out, n, unicode(word[i]) AS gram FROM runs WHERE word[i] <> ' '
+  UNION ALL SELECT row, lang, held_out, n, unicode(word[i]) * 2097152 + unicode(word[i + 1]) FROM runs WHERE i < length(word)
+  UNION ALL SELECT row, lang, held_out, n, unicode(word[i]) * 4398046511104 + unicode(word[i + 1]) * 2097152 + unicode(word[i + 2]) FROM runs WHERE i < length(word) - 1
+), learned AS (
+  SELECT lang, gram, sum(n) AS n FROM grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram
+), profiles AS (
+  SELECT lang, gram, avg(pos) OVER (PARTITION BY lang, n) - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS pos FROM learned) WHERE pos <= 1500
+), own AS (
+  SELECT row, gram, avg(pos) OVER (PARTITION BY row, n) - 1 AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY n DESC, gram) AS pos FROM (SELECT row, gram, sum(n) AS n FROM grams GROUP BY row, gram)) WHERE pos <= 400
+), near AS (
+  SELECT o.row, p.lang, count(*) AS n, sum(least(abs(o.place - p.place), 1500)) AS apart FROM own o JOIN profiles p USING (gram) GROUP BY o.row, p.lang
+), distances AS (
+  SELECT s.row, l.lang, (coalesce(n.apart, 0) + 1500.0::DOUBLE * (s.n - coalesce(n.n, 0))) / (1500 * s.n) AS distance
+  FROM (SELECT row, count(*) AS n FROM own GROUP BY row) s CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN near n ON n.row = s.row AND n.lang = l.lang
+), best AS (
+  SELECT row, lang, distance FROM distances QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, lang) = 1
+)
+SELECT r.doc_id, xor(r.crc, 4294967295) % 4 = 2 AS held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - b.distance, 0.0)::DOUBLE AS score FROM rows r LEFT JOIN best b USING (row)
+"""
+
+OP12_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), places AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded
+), counts AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS n FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(n)::HUGEINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS words, n AS a FROM counts WHERE k > 1 AND n >= 100
+), maximal AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(words[1 : j], ' ') AS first, array_to_string(words[j + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM maximal)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.n AS l, y.n AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.n::HUGEINT * y.n) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+OP13_HARD_NEGATIVES = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id))::INTEGER AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_MINHASH_DEDUP, "op6_decontamination": OP6_DECONTAMINATION, "op10_mixing": OP10_MIXING}
+    return {
+        "op1_minhash_dedup": OP1_MINHASH_DEDUP, "op6_decontamination": OP6_DECONTAMINATION, "op10_mixing": OP10_MIXING,
+        "op11_language_id": OP11_LANGUAGE_ID, "op12_phrases": OP12_PHRASES, "op13_hard_negatives": OP13_HARD_NEGATIVES,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, lines, minhash, mixing, nearest, pii, suffixes, tokens, toxicity
+from . import decontam, html_text, language, lines, minhash, mixing, nearest, negatives, phrases, pii, suffixes, tokens, toxicity
 from .common import table
 
 
@@ -61,5 +61,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=quality_weights(table(spark, sf_dir, "labels")))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score; profiles come from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    kept_out = language.held_out(F.col("doc_id"))
+    found = language.identify_languages(docs.select("doc_id", "text"), language.learn_profiles(docs.filter(~kept_out).select("text", "lang")))
+    return found.select("doc_id", kept_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of embeddings, in which the label of every seventh row is wrong by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.select("vec_id", wrong.alias("label"), "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_array_dedup, op3_toxicity, op4_html_text, op5_personal_data, op6_decontamination, op7_token_counts, op8_nearest_vectors, op9_line_dedup, op10_mixing)}
+    every = (
+        op1_minhash_dedup, op2_suffix_array_dedup, op3_toxicity, op4_html_text, op5_personal_data, op6_decontamination, op7_token_counts, op8_nearest_vectors, op9_line_dedup, op10_mixing,
+        op11_language_id, op12_phrases, op13_hard_negatives,
+    )
+    return {f.__name__: f for f in every}
