@@ -27,8 +27,8 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 #: Stands between pieces; no word is a full stop, since it ends a piece.
 _STOP = b"."
 #: Bytes of text that a task splits at a time, and different keys or phrases it holds before it hands them on.
-_SEGMENT = 4 << 20
-_HELD = 1_500_000
+_SEGMENT = 2 << 20
+_HELD = 1_000_000
 
 
 def segments(texts: list[str | None]) -> Iterator[list[bytes]]:
@@ -57,6 +57,19 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
                 yield name, words
 
 
+class PieceHash(WordHash):
+    """Hashes of words; 0 for a stop, also after it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__(limit=250_000)
+
+    def __missing__(self, word: bytes) -> int:
+        if word == _STOP:
+            self[word] = 0
+            return 0
+        return super().__missing__(word)
+
+
 class Filter:
     """A set of keys as bits: two for each key. It holds every key put in, and few others."""
 
@@ -79,7 +92,7 @@ def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def word_keys(words: list[bytes], known: WordHash, language: str) -> np.ndarray:
+def word_keys(words: list[bytes], known: PieceHash, language: str) -> np.ndarray:
     """One key for each word, different for each language; 0 for a stop."""
     hashes = known.of(words)
     keys = mixed(hashes ^ np.uint64(known[b"\n" + language.encode()])) | np.uint64(1)
@@ -135,11 +148,9 @@ def counted_keys(rows: DataFrame, lengths: range, proposed=None, before=None, ev
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally = WordHash(), Tally()
-        known[_STOP] = 0
+        known, tally = PieceHash(), Tally()
         now, old = (Filter(b.value) if b is not None else None for b in (proposed, before))
         for name, words in by_language(batches):
-            known.setdefault(_STOP, 0)
             single = word_keys(words, known, name)
             keys, inside = single, single != 0
             if now is not None:
@@ -177,7 +188,7 @@ def exact_counts(rows: DataFrame, longest: int, frequent) -> DataFrame:
     """lang, phrase and n of the phrases whose keys pass the filter, by their words; and n of all words of each lang under a null phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, passes = WordHash(), Filter(frequent.value)
+        known, passes = PieceHash(), Filter(frequent.value)
         counts: dict[tuple[str, bytes], int] = {}
         totals: dict[str, int] = {}
 
@@ -192,7 +203,6 @@ def exact_counts(rows: DataFrame, longest: int, frequent) -> DataFrame:
             counts[name, phrase] = counts.get((name, phrase), 0) + n
 
         for name, words in by_language(batches):
-            known[_STOP] = 0
             single = word_keys(words, known, name)
             totals[name] = totals.get(name, 0) + int((single != 0).sum())
             numbers: dict[bytes, int] = {}
@@ -214,7 +224,7 @@ def exact_counts(rows: DataFrame, longest: int, frequent) -> DataFrame:
                 group[at] = number
                 for i, count in zip(at[first].tolist(), n.tolist()):
                     add(name, b" ".join(words[i : i + length]), count)
-            if len(counts) > _HELD // 3:
+            if len(counts) > _HELD // 8:
                 yield from out()
         yield from out()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "phrase", "n"])
