@@ -2,9 +2,12 @@
 
 A sample of the documents proposes phrases. A pass over all documents then counts these and their negative border: every phrase that was not
 proposed, but whose first and last words (all but one) were. If a phrase of the border turns out to be frequent, the proposal was too
-small: it is enlarged, and a further pass counts what the larger one borders on, until no border phrase is frequent. Then no frequent phrase can
+small: it is enlarged, and a further pass counts what the larger one borders on. Then no frequent phrase can
 be missing, whatever the sample was.
 
+The further pass does not stop at the next border: a phrase that no pass has counted may be frequent, so phrases built on it are counted with it. One
+such pass therefore closes the search.
+
 Passes hand on 64-bit keys of phrases. Equal keys of different phrases can only add to a count, so they can propose a phrase, never hide one; the
 last pass counts all phrases left by their words. Which keys are proposed reaches the tasks as bits of a fixed number (a
 Bloom filter): what is broadcast does not grow with the input, and a key that passes by accident is counted in vain.
@@ -144,7 +147,8 @@ def counted_keys(rows: DataFrame, lengths: range, proposed=None, before=None, ev
 
     Without ``proposed`` all phrases count. With it (a broadcast Filter's bits), those of one word in it and those whose first and last words, all but one, are
     in it; with ``every``, those whose words all are in it. With ``before``, the proposal of an earlier pass, phrases which that pass has
-    counted are left out.
+    counted are left out, and ``proposed`` says which of them are frequent: counted are all others whose first and last words are either frequent or
+    counted in this pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +177,13 @@ def counted_keys(rows: DataFrame, lengths: range, proposed=None, before=None, ev
                     yield from tally.batches()
                 if every or now is None:
                     inside = both
-                else:
+                elif old is None:
                     inside = np.zeros(len(both), bool)
                     inside[at] = now.holds(fresh)
-                    if old is not None:
-                        earlier = np.zeros(len(both), bool)
-                        earlier[at] = old.holds(fresh)
+                else:  # what was not counted before may be frequent, so all that is built on it is counted, too
+                    inside, earlier = np.zeros(len(both), bool), np.zeros(len(both), bool)
+                    inside[at] = ~done | now.holds(fresh)
+                    earlier[at] = done & old.holds(fresh)
         yield from tally.batches()
 
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -189,24 +194,20 @@ def exact_counts(rows: DataFrame, longest: int, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, passes = PieceHash(), Filter(frequent.value)
-        counts: dict[tuple[str, bytes], int] = {}
+        counts: dict[str, dict[bytes, int]] = {}
         totals: dict[str, int] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [(name, phrase.decode(), n) for (name, phrase), n in counts.items()]
-            counts.clear()
-            for at in range(0, len(rows), 1 << 16):
-                part = rows[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.string()), pa.array([r[2] for r in part], pa.int64())], ["lang", "phrase", "n"])
-
-        def add(name: str, phrase: bytes, n: int) -> None:
-            counts[name, phrase] = counts.get((name, phrase), 0) + n
+            while counts:
+                name, held = counts.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "n"])
 
         for name, words in by_language(batches):
             single = word_keys(words, known, name)
             totals[name] = totals.get(name, 0) + int((single != 0).sum())
             numbers: dict[bytes, int] = {}
             word = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+            held = counts.setdefault(name, {})
             keys, group = single, word  # group: equal numbers for equal runs of words, exactly
             inside = (single != 0) & passes.holds(single)
             for length in range(1, min(longest, len(words)) + 1):
@@ -223,8 +224,9 @@ def exact_counts(rows: DataFrame, longest: int, frequent) -> DataFrame:
                 group = np.full(len(words), -1)
                 group[at] = number
                 for i, count in zip(at[first].tolist(), n.tolist()):
-                    add(name, b" ".join(words[i : i + length]), count)
-            if len(counts) > _HELD // 8:
+                    phrase = b" ".join(words[i : i + length]) if length > 1 else words[i]
+                    held[phrase] = held.get(phrase, 0) + count
+            if sum(map(len, counts.values())) > 3 * _HELD // 10:
                 yield from out()
         yield from out()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "phrase", "n"])
@@ -249,21 +251,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     enough = max(2, math.ceil(expected - 1.65 * math.sqrt(expected)))
     sample = stored(counted_keys(rows.filter(F.rand(seed) < share), range(2, longest + 1), send(bits), every=True).filter(F.col("n") >= enough).select("key"))
     bits = bits | key_filter(sample, filter_bits)
-    before, now, found = None, send(bits), [words]
-    while True:
-        counted = stored(counted_keys(rows, range(2, longest + 1), now, before).filter(F.col("n") >= least).select("key"))
-        found.append(counted)
-        # later passes count only what no earlier one did
-        failed = key_filter(counted.join(sample, "key", "left_anti") if before is None else counted, filter_bits)
-        if not failed.any():
-            break
-        bits = bits | failed
-        before, now = now, send(bits)
-    frequent = found[0]
-    for part in found[1:]:
-        frequent = frequent.unionByName(part)
+    proposal = send(bits)
+    counted = stored(counted_keys(rows, range(2, longest + 1), proposal).filter(F.col("n") >= least).select("key"))
+    frequent = words.unionByName(counted)
+    tables = [words, sample, counted]
+    if not counted.join(sample, "key", "left_anti").isEmpty():
+        # a phrase of the border is frequent. This pass counts all that may border on such phrases up to the full length, so it closes the search
+        further = stored(counted_keys(rows, range(2, longest + 1), send(key_filter(frequent, filter_bits)), proposal).filter(F.col("n") >= least).select("key"))
+        frequent = frequent.unionByName(further)
+        tables.append(further)
     exact = stored(exact_counts(rows, longest, send(key_filter(frequent, filter_bits))).filter((F.col("n") >= least) | F.col("phrase").isNull()))
-    discard(sample, *found)
+    discard(*tables)
     return exact
 
 
