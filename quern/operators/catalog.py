@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..sources.shared import stored
 
 
 def blank_to(column: str, *others) -> Column:
@@ -25,16 +26,26 @@ def browse(docs: DataFrame, term: str, categories: DataFrame | None = None) -> D
     return found if categories is None else found.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_semi")
 
 
-def category_closure(tree: DataFrame, root: str, most_levels: int = 100) -> DataFrame:
-    """id and depth of a category and all below it, from an adjacency table (id, parent_id), a join for each level."""
-    level = tree.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_levels + 1):
-        level = tree.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"category {root} has more than {most_levels} levels below it, or is its own ancestor")
+def category_closure(tree: DataFrame, root: str) -> DataFrame:
+    """id and depth of a category and all below it, from an adjacency table (id, parent_id) of any depth.
+
+    Every node points to its parent; a round lets it point where its target points, so after n rounds it points 2^n levels up or to the
+    root. A tree of d levels takes about log2(d) rounds, each a join of what is not settled yet. Nodes that end elsewhere fall out; those that still
+    wander after as many steps as there are nodes run in a circle and are not below the root. ValueError if the root is below itself.
+    """
+    ids = tree.select("id", "parent_id").filter("id IS NOT NULL")
+    top = F.col("id") == root
+    pointers, path = stored(ids.select("id", F.when(top, F.col("id")).otherwise(F.col("parent_id")).alias("at"), F.when(top, 0).otherwise(1).cast("long").alias("depth")).filter("at IS NOT NULL").distinct())
+    nodes, steps = pointers.count(), 1
+    while steps < 2 * nodes and not (wandering := pointers.filter(F.col("at") != root)).isEmpty():
+        hops = pointers.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        moved = wandering.join(hops, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        pointers, path = stored(pointers.filter(F.col("at") == root).unionByName(moved.distinct()), path)
+        steps *= 2
+    below = pointers.filter(F.col("at") == root).select("id", F.col("depth").cast("int").alias("depth"))
+    if not ids.filter(top).select(F.col("parent_id").alias("id")).join(below, "id").isEmpty():
+        raise ValueError(f"category {root} is its own ancestor")
+    return below
 
 
 def delete_category(tree: DataFrame, docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -173,11 +184,11 @@ def mean_response(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.round(mean, 1), F.lit(0.0)).alias("avg_seconds"))
 
 
-def service_metrics(log: DataFrame) -> DataFrame:
+def service_metrics(log: DataFrame, percentile: bool = True) -> DataFrame:
     """Mean and 95th percentile of the response time, and the rates of the flags the log has (cache_hit, accurate, hallucinated,
-    cost)."""
+    cost). The percentile is exact and holds all values; ``sketches.service_report`` takes it from days' sketches."""
     rates = [F.round(F.avg(F.col(c).cast("double")), 4).alias(n) for c, n in (("cache_hit", "cache_hit_rate"), ("accurate", "accuracy"), ("hallucinated", "hallucination_rate"), ("cost", "cost_per_query")) if c in log.columns]
-    return log.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("response_time"), 3).alias("avg_ms"), F.round(F.percentile("response_time", 0.95), 3).alias("p95_ms"), *rates)
+    return log.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("response_time"), 3).alias("avg_ms"), *([F.round(F.percentile("response_time", 0.95), 3).alias("p95_ms")] if percentile else []), *rates)
 
 
 def feedback_statistics(feedback: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,18 +12,11 @@ from ..functions.text import IPV4
 from ..operators import chunking, embedding
 from ..operators import entities as e
 from ..sources import tables
+from ..sources.shared import scratch
 from ..streaming import jobs
 from . import binding as b
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one, or a temporary one in a purely local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def plain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
 
@@ -110,11 +101,6 @@ def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.address_lookup(b.device_chunks(spark, sf_dir), wanted(spark, sf_dir)).select("sn", "hostname", "outband", "inband")
 
 
-def address_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as ``address_lookup``, under the name used while that query left some out."""
-    return address_lookup(spark, sf_dir)
-
-
 def link_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.topology_edges(b.link_chunks(spark, sf_dir)).drop("first")
 
@@ -176,7 +162,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_corpus, chunk_sections, chunk_paragraph, reassemble_document, reassemble_chunks, entity_extract, page_links, serial_switches, switch_groups, switch_summary, address_lookup, address_lookup_all, link_topology, topology_devices, embed_chunks, scan_udf,
+        chunk_corpus, chunk_sections, chunk_paragraph, reassemble_document, reassemble_chunks, entity_extract, page_links, serial_switches, switch_groups, switch_summary, address_lookup, link_topology, topology_devices, embed_chunks, scan_udf,
         pattern_scan, file_ingest, table_ingest, stream_daily_counts, stream_ingest,
     )
 }
@@ -205,7 +191,6 @@ SQL = {
     "switch_groups": f"{_SWITCHES} SELECT iblfs, count(*) AS n FROM found WHERE hostname IS NOT NULL GROUP BY 1",
     "switch_summary": f"{_SWITCHES} SELECT count(*) AS total, count(hostname) AS found, count(*) FILTER (hostname IS NULL) AS not_found, count(DISTINCT iblfs) FILTER (hostname IS NOT NULL) AS groups FROM found",
     "address_lookup": _ADDRESSES,
-    "address_lookup_all": _ADDRESSES,
     "link_topology": f"WITH {_LINKS} SELECT * FROM links",
     "topology_devices": f"""WITH {_LINKS}, d AS (SELECT DISTINCT 'spine' AS tier, source_device AS device FROM links UNION SELECT 'core', dest_device FROM links) SELECT tier, count(*) AS n, string_agg(device, ',' ORDER BY device) AS devices FROM d GROUP BY 1""",
     "scan_udf": "SELECT doc_id AS chunk_id, len(string_split(text, ' ')) AS n_words FROM documents",

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, corpus, retrieval, tenants
+from . import analytics, corpus, retrieval, storage, tenants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for part in (analytics, corpus, retrieval, tenants) for name, query in part.QUERIES.items()}
+    return {name: query for part in (analytics, corpus, retrieval, storage, tenants) for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (analytics, corpus, retrieval, tenants) for name, sql in part.SQL.items()}
+    return {name: sql for part in (analytics, corpus, retrieval, storage, tenants) for name, sql in part.SQL.items()}
