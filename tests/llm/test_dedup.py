@@ -136,11 +136,11 @@ def test_large_buckets_match_all_pairs(spark, monkeypatch):
 
 
 def test_pairs_at_the_limit_are_found():
-    """The share of pairs at the limit that show a common key, by length: all up to 22 words, over 0.99 beyond."""
+    """The share of pairs at the limit that show a common key, by length: all up to 29 words, 98.5 % beyond; all of any length with every key."""
     rng = np.random.default_rng(2)
     level = (np.zeros(1 << 23, np.uint8),) * 2
-    for size in (5, 8, 10, 15, 20, 22, 30, 60, 120):
-        met, tries = 0, 200
+    for size in (5, 8, 10, 11, 12, 13, 15, 20, 22, 29, 30, 60, 120):
+        met, proven, tries = 0, 0, 200
         for _ in range(tries):
             a = rng.integers(0, 1 << 63, size, np.uint64)
             b = a.tolist()
@@ -149,11 +149,46 @@ def test_pairs_at_the_limit_are_found():
                 b[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(0, 1 << 63))]
             b = np.array(b, np.uint64)
             if edits(a.tolist(), b.tolist()) > int(0.2 * max(len(a), len(b)) + 1e-9):
-                met += 1
+                met, proven = met + 1, proven + 1
                 continue
-            x, y = (set(lines.rare_pairs(w, np.array([len(w)]), level, 0.8, lines.MOST_KEYS)[1].tolist()) for w in (a, b))
+            shown = lambda most: [set(lines.rare_pairs(w, np.array([len(w)]), level, 0.8, most)[1].tolist()) for w in (a, b)]  # noqa: E731, B023
+            met += not set.isdisjoint(*shown(lines.MOST_KEYS))
+            proven += not set.isdisjoint(*shown(1 << 30))
+        assert proven == tries and (met == tries if size <= 29 else met >= 0.985 * tries), (size, met)
+
+
+def test_pairs_at_the_limit_are_found_with_the_tables_own_rarity(spark):
+    """Real lines with as many substituted words as are allowed, by new words or by common ones, and across every length that could be a border."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    level = lines.rarity(docs)
+    rng = np.random.default_rng(4)
+    words, _, _, first, count = lines.line_words([r["text"] for r in docs.orderBy("doc_id").limit(400).collect()])
+    common = words[rng.integers(0, len(words), 1000)]
+
+    def share(low, high, shorter, kind, most):
+        chosen = np.flatnonzero((count >= low) & (count <= high))
+        met = 0
+        for i in rng.choice(chosen, 150):
+            a = words[first[i] : first[i] + count[i]]
+            b = a.copy()
+            edits_left = int(0.2 * len(a) + 1e-9)
+            if shorter:
+                b = np.delete(b, rng.choice(len(b), len(a) - shorter, replace=False))
+                edits_left -= len(a) - shorter
+            at = rng.choice(len(b), edits_left, replace=False)
+            b[at] = rng.choice(common, len(at)) if kind == "common" else rng.integers(0, 1 << 63, len(at), np.uint64)
+            x, y = (set(lines.rare_pairs(w, np.array([len(w)]), level, 0.8, most)[1].tolist()) for w in (a, b))
             met += bool(x & y)
-        assert met == tries if size <= 22 else met >= 0.985 * tries, (size, met)
+        return met / 150
+
+    for kind in ("new", "common"):
+        for low, high, shorter in ((5, 11, 0), (12, 12, 11), (13, 13, 11), (12, 19, 0), (20, 29, 0)):
+            assert share(low, high, shorter, kind, lines.MOST_KEYS) == 1, (kind, low, high)
+        for low, high in ((30, 39), (40, 79), (80, 159)):
+            found = share(low, high, 0, kind, lines.MOST_KEYS)
+            print(kind, low, high, found)
+            assert found >= 0.97, (kind, low, high, found)
+            assert share(low, high, 0, kind, 1 << 30) == 1
 
 
 def test_line_query_matches_all_pairs(spark, tmp_path):
