@@ -60,8 +60,11 @@ def top_questions_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles from the days' sketches: how many values they stand for, and whether the log's own share of values up to each is within two hundredths."""
     log = b.query_log(spark, sf_dir)
-    found = sketches.response_quantiles(sketches.response_sketches(log))
-    shares = log.join(F.broadcast(found), F.lit(True)).groupBy("share", "n", "response_time").agg(F.avg((log["response_time"] <= found["response_time"]).cast("double")).alias("own"), F.avg((log["response_time"] < found["response_time"]).cast("double")).alias("less"))
+    found = sketches.response_quantiles(sketches.response_sketches(log)).withColumnRenamed("response_time", "at")
+    times = log.select("response_time").filter("response_time IS NOT NULL")
+    up_to = F.avg((F.col("response_time") <= F.col("at")).cast("double"))
+    below = F.avg((F.col("response_time") < F.col("at")).cast("double"))
+    shares = times.join(F.broadcast(found), F.lit(True)).groupBy("share", "n", "at").agg(up_to.alias("own"), below.alias("less"))
     return shares.select("share", "n", ((F.col("less") <= F.col("share") + 0.02) & (F.col("own") >= F.col("share") - 0.02)).alias("close"))
 
 
