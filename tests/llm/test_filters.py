@@ -1,6 +1,7 @@
 """Toxicity, personal data, contamination, html text and token counts."""
 
 import hashlib
+import random
 import re
 import time
 
@@ -167,6 +168,84 @@ def test_tree_matching():
     assert html_text.matched_paths(a, b) == {n.path for n in first if n.label in ("", "div", "ul", "li")}
 
 
+def test_tree_matching_equals_exhaustive_search():
+    def most(x, y):
+        if not x or not y:
+            return 0
+        return max(most(x[1:], y), most(x, y[1:]), whole(x[0], y[0]) + most(x[1:], y[1:]) if x[0].label == y[0].label else 0)
+
+    def whole(a, b):
+        return 1 + most(a.children, b.children) if a.label == b.label else 0
+
+    def page(rng, depth):
+        return "".join(f"<{t}>{page(rng, depth - 1) if depth else 'x'}</{t}>" for t in (rng.choice(("div", "ul", "section")) for _ in range(rng.randint(0, 4))))
+
+    rng = random.Random(3)
+    for _ in range(150):
+        a, b = (html_text.shape(html_text.parse(page(rng, 2))[0]) for _ in range(2))
+        assert html_text.matched(a, b, {}) == whole(a, b) == html_text.matched(b, a, {})
+
+
+ARTICLE_PARTS = {
+    "social science": True, "copyright-law": True, "toc": True, "widget-guide": True, "search": True, "related-work": True, "ad-hoc": True,
+    "comments": False, "comment-list": False, "ad-slot wide": False, "share-buttons": False, "related-posts": False, "newsletter": False,
+}
+
+
+@pytest.mark.parametrize("name", ARTICLE_PARTS)
+def test_names_inside_an_article(name):
+    for attribute in ("class", "id"):
+        found = html_text.main_text(f"<article><h1>Head</h1><div {attribute}='{name}'><p>part</p></div><p>end</p></article>")
+        assert found == ("Head\npart\nend" if ARTICLE_PARTS[name] else "Head\nend")
+
+
+def test_wrapper_decides_inside_an_article():
+    """A doubtful name counts where it recurs beside a larger article, not where it holds the article; copies are no evidence of template."""
+    body = lambda i: f"<h1>Title {i}</h1><p>{' '.join(f'w{i}x{k}' for k in range(30))}</p>"
+    mark = lambda w: w | {"template": frozenset(w["template"]), "asides": frozenset(w["asides"])}
+    beside = [f"<nav>menu {i}</nav><article>{body(i)}<div class='toc'>to {i}</div><p>Always here</p></article><article class='card'>other {i}</article>" for i in range(6)]
+    wrapper = mark(html_text.induce(beside))
+    assert [html_text.main_text(p, wrapper) for p in beside] == ["\n".join(re.findall(r"Title \d|w\dx[^<]+", p)) for p in beside]
+    around = [f"<article><div class='toc'>{body(i)}</div></article>" for i in range(6)]
+    wrapper = mark(html_text.induce(around))
+    assert not wrapper["asides"] and all(html_text.main_text(p, wrapper).startswith(f"Title {i}\nw") for i, p in enumerate(around))
+    copies = [f"<div class=ad>buy {i}</div><article>{body(7)}</article>" for i in range(6)]
+    assert html_text.induce(copies)["template"] == []
+    short = [f"<div class=a>{'Standing words of the site. ' * 9}</div><div class=b>s{i}</div>" for i in range(6)] + [f"<div class=a>{'Standing words of the site. ' * 9}</div><div class=b>Long {i} {'own words ' * (40 + i)}</div>" for i in range(6)]
+    wrapper = mark(html_text.induce(short))
+    assert [html_text.main_text(p, wrapper) for p in short[:6]] == [f"s{i}" for i in range(6)]
+
+
+def test_malformed_tags_take_linear_time():
+    sources = ("<a " * 100_000, '<a b="' * 100_000, "<!x " * 100_000, "<?" * 100_000, "</" * 100_000, '<a b=">" ' * 50_000, "<a" * 100_000 + '"', "<b '\">" * 50_000, "<a x='\"' >'" * 30_000 + '"', "<" + "a" * 200_000 + '">', "&#" + "9" * 200_000 + ";<p>", "&#" * 100_000)
+    for source in sources:
+        began = time.time()
+        html_text.main_text(source)
+        html_text.main_text(f"{source}<p>end</p>")
+        assert time.time() - began < 5, source[:20]
+    assert html_text.main_text("<p>1 <a b</p>x") == "1 x" and html_text.main_text("<p>one</p>2 <a b") == "one\n2 <a b"
+    assert html_text.main_text("<p title='a>b'>in</p>") == "in" and html_text.main_text("<p title='a>b</p>") == "b"
+    assert html_text.main_text("&#" + "0" * 6000 + "65;&#" + "9" * 6000 + ";") == "A\ufffd"
+
+
+def test_tag_ends_equal_the_plain_pattern():
+    rng = random.Random(5)
+    for _ in range(3000):
+        source = "".join(rng.choice(("<", ">", '"', "'", "a", " ", "=", "/", "!", "<p", "-->", "<!--")) for _ in range(rng.randint(1, 40)))
+        tags = html_text.Tags(source)
+        for start in (i for i, c in enumerate(source) if c == "<"):
+            plain = html_text._TOKEN.match(source, start) or html_text._LOOSE.match(source, start)
+            found = tags.match(start)
+            assert (found and found.span()) == (plain and plain.span()), source
+
+
+def test_html_of_odd_rows(spark):
+    rows = [(None, "http://a.example/", "<p>x"), (1, None, None), (1, "http://a.example/", "<p>x"), (1, "http://a.example/", "<p>x"), (2, "http://a.example/", "<div>" + "<p>y " * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit("c").alias(n) for n in ("host", "layout", "wrapper", "host_wrapper", "layout_wrapper", "salt", "turn", "text", "n_chars")))
+    found = sorted((r.page_id or 0, r.n_chars) for r in html_text.extract_main_text(pages).collect())
+    assert found == [(0, 1), (1, 0), (1, 1), (1, 1), (2, 199_999)]
+
+
 def test_odd_pages_take_linear_time():
     rows = "".join(f"<tr><td class=c{i % 7}>{i}</td><td>b</td></tr>" for i in range(10_000))
     nested = "".join(f"<div class=d{i}><p>{i}</p>" for i in range(3_000))
