@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, spread, stored, text_bytes
+from .common import discard, mixed, slices, spread, stored, text_bytes
 
 LENGTH = 200
 GRAM = 64
@@ -27,6 +27,8 @@ RUN = 256
 #: Bytes of a shard's text, and runs of one anchor that go to one shard.
 SHARD_BYTES = 1 << 20
 SHARD_RUNS = 8192
+#: Parts into which the runs of an anchor with more rows than that are dealt before they are counted.
+SALTS = 256
 _POWERS = mixed(np.arange(101, 108, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -76,11 +78,11 @@ def text_runs(text: bytes) -> tuple[np.ndarray, ...]:
     return anchors[start].view(np.int64), content.view(np.int64), start, windows, cut
 
 
-RUN_COLUMNS = "anchor long, content long, windows int, cut boolean, docs array<long>, starts array<int>"
+RUN_COLUMNS = "anchor long, content long, windows int, cut boolean, alone boolean, docs array<long>, starts array<int>"
 
 
 def run_table(docs: DataFrame, buffered: int = 1_000_000) -> DataFrame:
-    """All runs, those of equal anchor and content gathered in the task: many copies become one row for each task."""
+    """All runs, those of equal anchor and content gathered in the task: many copies become one row for each task. ``alone``: no other content beside it there."""
 
     def gathered(parts: list[tuple]) -> pa.RecordBatch:
         anchor, content, start, windows, cut, doc = (np.concatenate(c) for c in zip(*parts))
@@ -89,8 +91,10 @@ def run_table(docs: DataFrame, buffered: int = 1_000_000) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
         offsets = pa.array(np.append(first, len(anchor)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order], t)) for v, t in ((doc, pa.int64()), (start, pa.int32()))]
-        at = order[first]
-        return pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(content[first]), pa.array(windows[at], pa.int32()), pa.array(cut[at]), *lists], ["anchor", "content", "windows", "cut", "docs", "starts"])
+        at, anchor = order[first], anchor[first]
+        changes = anchor[1:] != anchor[:-1]
+        alone = np.append(True, changes) & np.append(changes, True)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content[first]), pa.array(windows[at], pa.int32()), pa.array(cut[at]), pa.array(alone), *lists], ["anchor", "content", "windows", "cut", "alone", "docs", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -241,16 +245,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     docs = spread(docs.select(F.col("doc_id").cast("long"), "text"))
-    anchor, content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
+    gathered = stored(run_table(docs))
+    # rows that were alone in their piece of a task are at most one a piece, so an anchor with many rows is found without them
+    crowded = stored(gathered.filter("NOT alone").groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > SHARD_RUNS))
+    part, content = Window.partitionBy("anchor", "salt"), Window.partitionBy("anchor", "salt", "content")
     runs = (
-        run_table(docs)
-        .repartition("anchor")
+        gathered.join(crowded, "anchor", "left")
+        .withColumn("salt", F.when(F.col("rows").isNotNull(), F.pmod("content", F.lit(SALTS))).otherwise(0))
+        .repartition("anchor", "salt")
         .withColumn("n", F.sum(F.size("docs")).over(content))
         .withColumn("head", F.row_number().over(content.orderBy("docs", "starts")) == 1)
-        .withColumn("kinds", F.sum(F.col("head").cast("long")).over(anchor))
+        .withColumn("kinds", F.coalesce("rows", F.sum(F.col("head").cast("long")).over(part)))
         .filter("n > 1 OR kinds > 1 OR cut")
+        .drop("rows", "salt", "alone")
     )
     runs = stored(runs)
+    discard(gathered, crowded)
     pairs = runs.filter("n > 1").select(F.explode(F.arrays_zip("docs", "starts")).alias("at"), "windows")
     whole = pairs.select(F.col("at.docs").alias("doc_id"), F.col("at.starts").cast("long").alias("start"), (F.col("at.starts") + F.col("windows") + LENGTH - 1).cast("long").alias("stop"))
 

@@ -240,3 +240,18 @@ def test_odd_tables(spark, operator):
     assert operator(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, 1, "x", "y", 1, 1), ("a b c d e f g h", 2, "x", "y", 1, 1), ("a b c d e f g h", 2, "x", "y", 1, 1), ("a b c d e f g h", None, None, None, 1, 1), ("", 3, None, None, 1, 1)]
     assert operator(spark.createDataFrame(rows, schema)).count() == 5
+
+
+def test_crowded_anchors_are_dealt_over_parts(spark, monkeypatch):
+    """One passage in many surroundings: the same rows as with every anchor in one part, and no part that holds them all."""
+    rng = np.random.default_rng(11)
+    prose = lambda: " ".join(f"w{n}" for n in rng.integers(100, 1000, 50))
+    passage = prose()
+    rows = [(i, f"{prose()} {passage} {prose()}") for i in range(300)]
+    table = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(4)
+    digest = lambda: sorted(tuple(r[:5]) for r in suffixes.remove_repeats(table).collect())
+    plain = digest()
+    monkeypatch.setattr(suffixes, "SHARD_RUNS", 20)
+    assert digest() == plain and all(r[2] >= len(passage) for r in plain)
+    most = suffixes.run_table(table).filter("NOT alone").groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert most > 200
