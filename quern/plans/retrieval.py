@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -192,6 +193,67 @@ def _fused_sql(limit: int) -> str:
       fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kr NULLS LAST, vr NULLS LAST, chunk_id) AS rank FROM summed QUALIFY rank <= {limit})"""
 
 
+def _list(words) -> str:
+    return "[" + ", ".join(map(_text, words)) + "]"
+
+
+def _distinct(items: str) -> str:
+    """A list's items, each once, where it comes first."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+def _keyword_parts_sql() -> str:
+    """What is found in each user turn: addresses, commands, groups with their words, and basic keywords."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+    address = rf"(?:{octet}\.){{3}}{octet}"
+    spelled = lambda words: "\\b(?i:" + "|".join(re.escape(w) for w in words) + ")\\b"
+    first = lambda rules, other: "CASE " + " ".join(f"WHEN {_any('q', words)} THEN '{name}'" for name, words in rules) + f" ELSE '{other}' END"
+    all_of = lambda pattern, column="text": f"regexp_extract_all({column}, {_text(pattern)})"
+    groups = ", ".join(f"{{'type': '{name}', 'elements': {_distinct('g_' + name)}}}" for name in v.SEMANTIC_GROUPS)
+    found_groups = ", ".join(f"list_transform({all_of(spelled(words))}, lambda x: lower(x)) AS g_{name}" for name, words in v.SEMANTIC_GROUPS.items())
+    return f"""WITH asked AS (SELECT conv_id || '-' || turn AS query_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS q FROM conversations WHERE role = 'user'),
+      plain AS (SELECT *, trim(regexp_replace(regexp_replace(text, '[，。！？；："''（）【】《》]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain, {found_groups},
+        {all_of(rf"\b{address}/\d{{1,2}}\b")} AS nets, {all_of(rf"\b{address}\b")} AS singles, {all_of(rf"\b{address}\s*-\s*{address}\b")} AS ranges,
+        list_transform({all_of(spelled(v.COMMANDS))}, lambda x: lower(x)) AS commands, {first(v.ACTIONS, "show")} AS action, {first(v.TARGETS, "general")} AS target FROM asked),
+      listed AS (SELECT *, list_concat({_distinct("nets")}, list_filter({_distinct("singles")}, lambda x: NOT contains(text, x || '/')), {_distinct("ranges")}) AS addresses,
+        list_filter([{groups}], lambda g: len(g.elements) > 0) AS groups,
+        list_concat({all_of(r"\b[A-Z]{2,}\b", "plain")}, {all_of(r"\b[A-Z][a-z]+\b", "plain")}, {all_of(r"\b(?:[A-Z]+[a-z]*|[a-z]+[A-Z]+)\d*\b", "plain")}) AS named,
+        list_filter(regexp_split_to_array(regexp_replace(lower(plain), '[^一-龥a-zA-Z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 2 AND NOT list_contains({_list(v.STOP_WORDS)}, w)) AS words FROM plain),
+      found AS (SELECT *, list_concat(list_transform(named, lambda x: lower(x)), words, addresses, commands, flatten(list_transform(groups, lambda g: g.elements))) AS every FROM listed)"""
+
+
+_COARSE_INTENT = f"""CASE WHEN len(addresses) > 0 AND len(commands) > 0 THEN 'network_config' WHEN len(commands) > 0 OR {_any("q", ("命令", "command"))} THEN 'command_reference'
+      WHEN {_any("q", ("问题", "故障", "error", "失败"))} THEN 'troubleshooting'
+      WHEN list_has_any(list_transform(groups, lambda g: g.type), ['network_config', 'access_control']) THEN 'network_config' ELSE 'general' END"""
+
+
+def _expansion_sql() -> str:
+    """Each user turn with its domain terms, and the words that they and its own keywords add."""
+    held = lambda words: f"list_filter({_list(words)}, lambda w: contains(q, w))"
+    adds = lambda condition, words: f"CASE WHEN {condition} THEN {_list(words)} ELSE [] END"
+    acl = f"CASE WHEN {_any('q', ('acl', 'access control list'))} THEN ['acl', 'access control list'] ELSE [] END"
+    flags = ", ".join(f"list_has_any(tech, {_list(words)}) AS {name}" for name, words in v.DOMAIN_FLAGS)
+    domain = ", ".join(
+        [
+            *(adds(flag, words) for flag, words in v.DOMAIN_ADDS),
+            adds("list_has_any(tech, ['acl', 'access control list'])", v.ACL_ADDS),
+            adds("has_qos OR has_pfc OR has_ecn OR has_roce", v.QOS_ADDS),
+            adds("list_contains(vendors, 'nvidia')", v.VENDOR_ADDS),
+            _list(v.ALWAYS_ADDS),
+            adds("domain_intent = 'network_config'", v.CONFIG_ADDS),
+            "CASE WHEN len(own) > 0 THEN own ELSE keywords END",
+        ]
+    )
+    return f"""{_keyword_parts_sql()},
+      terms AS (SELECT *, {_distinct("every")} AS keywords, list_concat({", ".join(map(held, v.DOMAIN_TERMS.values()))}, {acl}) AS tech_rows, {held(v.VENDORS)} AS vendors, {held(v.CONFIG_TERMS)} AS config,
+        list_filter(regexp_extract_all(text, '[一-龥]+'), lambda w: length(w) >= 2 AND NOT list_contains({_list(v.DOMAIN_STOP_WORDS)}, w)) AS cjk, list_filter(regexp_extract_all(text, '[a-zA-Z]+'), lambda w: length(w) >= 2) AS latin FROM found),
+      tech AS (SELECT *, {_distinct("tech_rows")} AS tech, list_concat(tech_rows, vendors, config, cjk, latin) AS own_rows FROM terms),
+      flagged AS (SELECT *, {_distinct("own_rows")} AS own, {flags}, CASE WHEN len(tech) > 0 AND len(config) > 0 THEN 'network_config' WHEN len(tech) > 0 THEN 'tech_reference'
+        WHEN len(vendors) > 0 THEN 'vendor_specific' ELSE 'general' END AS domain_intent FROM tech),
+      added AS (SELECT *, list_concat({domain}) AS domain_rows, {_any("q", v.ROUTING_WORDS)} AS routed,
+        list_concat(addresses, list_transform(commands, lambda c: c || ' ' || action), flatten(list_transform(groups, lambda g: g.elements)), keywords) AS general FROM flagged)"""
+
+
 def _intent_sql() -> str:
     """The intent scores from the same fixed values."""
     context = "CASE " + " ".join(f"WHEN regexp_matches(recent, {_text(p)}) THEN {_text(n)}" for n, p in v.CONTEXT_INTENTS) + " END"
@@ -233,4 +295,8 @@ SQL = {
       SELECT category, count(*) AS n, sum(hit)::BIGINT AS hits, round(avg(hit), 4) AS accuracy, round(avg(hit), 4) >= 0.8 AS passed FROM judged GROUP BY ROLLUP (category)""",
     "intent_parameters": f"""{_intent_sql()} SELECT intent, p.a AS retrieve_limit, p.c AS rerank_candidates, round(p.least::DOUBLE + CASE WHEN confidence < 0.5 THEN -0.05 WHEN confidence > 0.8 THEN 0.05 ELSE 0 END, 4) AS min_score, p.k AS fusion_constant, count(*) AS n
       FROM intents JOIN (VALUES {_PARAMETERS}) p(name, a, c, least, k) ON p.name = intent GROUP BY ALL""",
+    "query_keywords": f"""{_keyword_parts_sql()} SELECT query_id, len(addresses)::INT AS n_addresses, array_to_string({_distinct("every")}, ' ') AS keywords, {_COARSE_INTENT} AS coarse_intent FROM found""",
+    "query_commands": f"""{_keyword_parts_sql()} SELECT query_id, array_to_string(list_transform(commands, lambda c: c || ' ' || action || ' ' || target), ',') AS commands,
+      array_to_string(list_transform(groups, lambda g: g.type), ',') AS groups FROM found""",
+    "query_expansion": f"""{_expansion_sql()} SELECT query_id, routed, array_to_string(CASE WHEN routed THEN {_distinct("domain_rows")} ELSE general END, ' ') AS enhanced, domain_intent FROM added""",
 }
