@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.text import contains_any, occurrences, staged
+from ..sources.shared import stored
 
 #: Constant of reciprocal rank fusion.
 RRF = 60
@@ -122,7 +123,7 @@ def term_matches(chunks: DataFrame, patterns: list[str]) -> DataFrame:
 def keyword_search_batch(chunks: DataFrame, queries: DataFrame, limit: int = 30, expansions: dict[str, tuple[str, ...]] | None = None, block: int = 20_000) -> DataFrame:
     """query_id, chunk_id, score and rank: the ``limit`` best chunks of every row of ``queries`` (query_id, query).
 
-    All terms of all queries are found in one pass over the chunks, whatever the number of queries, and joined to the queries by
+    All terms of all queries are found in one pass over the chunks and one over the distinct filenames, stored, and joined to the queries by
     term; queries go through in blocks of ``block``, which bounds what is broadcast. A filename counts for queries
     whose terms it holds even where the content holds none.
     """
@@ -144,16 +145,23 @@ def _search_block(chunks: DataFrame, rows: list, queries: DataFrame, expansions:
     patterns = sorted({p for _, q, terms, _ in asked for p in [q, *terms] if p}) or [" "]
     terms = spark.createDataFrame([(i, t) for i, _, ts, _ in asked for t in ts], f"query_id {kind}, term string")
     about = spark.createDataFrame([(i, q, f["command"], f["concept"], f["trouble"]) for i, q, _, f in asked], f"query_id {kind}, query string, command boolean, concept boolean, trouble boolean")
-    matches = term_matches(chunks, patterns)
+    matches, _ = stored(term_matches(chunks, patterns))
     weight = F.when(is_technical(F.col("term")), 3.0).otherwise(1.0)
     points = matches.join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id").agg(F.sum((1 + F.log("n")) * weight).alias("points"), F.count(F.lit(1)).alias("matched"))
     whole = matches.join(F.broadcast(about.select("query_id", F.col("query").alias("term"))), "term").select("query_id", "chunk_id", F.lit(10.0).alias("whole"))
     names = chunks.select(F.lower("filename").alias("name")).filter("name IS NOT NULL").distinct()
-    bonus = names.join(F.broadcast(terms), F.contains("name", "term")).groupBy("query_id", "name").agg((F.count(F.lit(1)) * 2.0).alias("bonus"))
+    in_names = term_matches(names.select(F.col("name").alias("chunk_id"), F.col("name").alias("content")), patterns).select(F.col("chunk_id").alias("name"), "term")
+    held = in_names.join(F.broadcast(terms), "term").select("query_id", "name")
+    if any("" in ts for _, _, ts, _ in asked):  # every name holds an empty term
+        held = held.union(names.join(F.broadcast(terms.filter("term = ''")), F.contains("name", "term")).select("query_id", "name"))
+    bonus = held.groupBy("query_id", "name").agg((F.count(F.lit(1)) * 2.0).alias("bonus"))
     named = chunks.select("chunk_id", F.lower("filename").alias("name")).join(bonus, "name").select("query_id", "chunk_id", "bonus")
     base = points.join(whole, ["query_id", "chunk_id"], "full_outer").join(named, ["query_id", "chunk_id"], "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scored = base.select("query_id", "chunk_id", (zero("points") + F.when(F.col("matched") > 1, F.col("matched") * 1.5).otherwise(0.0) + zero("whole") + zero("bonus")).alias("base"))
+    if not any(any(flags.values()) for *_, flags in asked):  # no query that content of a kind adds to
+        return scored.select("query_id", "chunk_id", F.col("base").alias("score")).filter("score > 0")
+    scored, _ = stored(scored)
     boosted = scored.join(F.broadcast(about.filter("command OR concept OR trouble")), "query_id").filter("base > 2").join(chunks.select("chunk_id", F.lower("content").alias("content")), "chunk_id")
     boosts = boosted.select("query_id", "chunk_id", boost_of(F.col("content"), F.col("query"), F.col("command"), F.col("concept"), F.col("trouble")).alias("boost"))
     return scored.join(boosts, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("base") + zero("boost")).alias("score")).filter("score > 0")
