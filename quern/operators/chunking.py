@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import vocabulary as v
 from ..functions.text import CJK, LEFT, RIGHT, trimmed
 
 #: Largest chunk in characters, and least trimmed characters of a section that is kept.
 MAX_CHUNK, MIN_SECTION = 4000, 50
-HEADING = r"^(#{1,6})\s+(.+)$"
+#: A heading line; a carriage return or another line end of Unicode at its end is no part of the title.
+HEADING = re.compile(r"(#{1,6})[ \t\x0b\f\r]+([^\r\x85\u2028\u2029]+)[\r\x85\u2028\u2029]?\Z")
+#: A character that is not trimmed.
+FILLED = r"[^\s\u00a0\ufeff]"
+#: Texts split at a time.
+ROWS = 256
 FENCE = r"(?s)```.*?```"
 SENTENCE_END = r"(?<=[。！？；.!?;])\s*"
 
@@ -41,32 +51,46 @@ def tables_as_pipes(text: Column) -> Column:
     return F.when(F.contains(F.lower(text), F.lit("<table")), joined).otherwise(text)
 
 
+def split_sections(text: str) -> list[tuple[int, str, list[str]]]:
+    """Number, content and breadcrumbs of each section of a text; what comes before the first heading is section 0."""
+    if "#" not in text:
+        return [(0, text, [])]
+    total, before = text.count("```"), 0
+    closed = total - total % 2  # a fence that is never closed protects nothing
+    found, lines, open_heads, number = [], [], [], 0
+    for line in text.split("\n"):
+        fences = line.count("```")
+        head = HEADING.match(line) if not fences and line.startswith("#") and not (before % 2 and before < closed) else None
+        before += fences
+        if head:
+            if lines:
+                found.append((number, "\n".join(lines), [title for _, title in open_heads]))
+            level = len(head[1])
+            open_heads = [h for h in open_heads if h[0] < level] + [(level, head[2])]
+            number, lines = number + 1, []
+        lines.append(line)
+    return [*found, (number, "\n".join(lines), [title for _, title in open_heads])]
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """document_id, section, content and breadcrumbs from ``docs`` (document_id, text); fenced lines are never headings.
 
-    A heading line opens a section; its breadcrumbs are the headings open above it.
+    A heading line opens a section; its breadcrumbs are the headings open above it. Each text is read once, where it lies; a null
+    one has no section.
     """
-    lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    by_line = Window.partitionBy("document_id").orderBy("line")
-    so_far = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    fences = F.regexp_count(F.col("value"), F.lit("```"))
-    # a fence that is never closed protects nothing
-    total = F.sum("fences").over(Window.partitionBy("document_id"))
-    before = F.coalesce(F.sum("fences").over(so_far), F.lit(0))
-    fenced = (F.pmod(before, F.lit(2)) == 1) & (before < total - F.pmod(total, F.lit(2)))
-    marked = lines.withColumn("fences", fences).withColumn("fenced", fenced)
-    level = F.when(~F.col("fenced") & (F.col("fences") == 0) & F.col("value").rlike(HEADING), F.length(F.regexp_extract("value", HEADING, 1)))
-    headed = marked.withColumn("level", level).withColumn("section", F.count("level").over(by_line))
-    heads = headed.filter("level IS NOT NULL").withColumn("title", trimmed(F.regexp_extract("value", HEADING, 2)))
-    until = Window.partitionBy("document_id").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    for n in range(1, 7):
-        heads = heads.withColumn(f"at{n}", F.last(F.when(F.col("level") == n, F.col("section")), ignorenulls=True).over(until))
-        heads = heads.withColumn(f"title{n}", F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(until))
-    # an open heading is the last of its level, with no shallower one after it
-    crumbs = F.array(*(F.when((F.col(f"at{n}").isNotNull()) & (F.coalesce(F.greatest(*(F.coalesce(f"at{m}", F.lit(0)) for m in range(1, n)), F.lit(0)) if n > 1 else F.lit(0), F.lit(0)) < F.col(f"at{n}")) & (F.col("level") >= n), F.col(f"title{n}")) for n in range(1, 7)))
-    trail = heads.select("document_id", "section", F.filter(crumbs, lambda c: c.isNotNull()).alias("breadcrumbs"))
-    bodies = headed.groupBy("document_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("content"))
-    return bodies.join(trail, ["document_id", "section"], "left").withColumn("breadcrumbs", F.coalesce("breadcrumbs", F.array().cast("array<string>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [(i, *s) for i, text in enumerate(part.column(1).to_pylist()) if text is not None for s in split_sections(text)]
+                owner, number, content, trail = zip(*found) if found else ((), (), (), ())
+                columns = [part.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int64()), pa.array(content, pa.string()), pa.array(trail, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["document_id", "section", "content", "breadcrumbs"])
+
+    rows = docs.select("document_id", "text")
+    schema = StructType([rows.schema["document_id"]]).add("section", "long").add("content", "string").add("breadcrumbs", ArrayType(StringType()))
+    return rows.mapInArrow(run, schema).withColumn("breadcrumbs", F.transform("breadcrumbs", trimmed))
 
 
 def packed_sentences(text: Column, size: int) -> Column:
@@ -119,13 +143,15 @@ def summary(content: Column, breadcrumbs: Column) -> Column:
     """Header, first two device commands and first five technical terms of a chunk."""
     commands = F.slice(F.regexp_extract_all(content, F.lit("(?i)" + v.SUMMARY_COMMANDS), F.lit(0)), 1, 2)
     terms = F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(content, F.lit(f"{LEFT}(?i:{p}){RIGHT}"), F.lit(0)), F.upper) for p in v.SUMMARY_TERMS)))
+    # an expression that stands twice is searched twice, so labels with nothing after them are dropped afterwards, and the result is bound once
+    labels = ("NVUE: ", "关键词: ")
     parts = F.array(
         F.when(F.size(breadcrumbs) > 0, F.element_at(breadcrumbs, -1)),
-        F.when(F.size(commands) > 0, F.concat(F.lit("NVUE: "), F.array_join(F.transform(commands, trimmed), "; "))),
-        F.when(F.size(terms) > 0, F.concat(F.lit("关键词: "), F.array_join(F.slice(terms, 1, 5), ", "))),
+        F.concat(F.lit(labels[0]), F.array_join(F.transform(commands, trimmed), "; ")),
+        F.concat(F.lit(labels[1]), F.array_join(F.slice(terms, 1, 5), ", ")),
     )
-    joined = F.array_join(F.filter(parts, lambda p: p.isNotNull()), " | ")
-    return F.when(joined == "", F.lit("No summary")).otherwise(joined)
+    joined = F.array_join(F.filter(parts, lambda p: p.isNotNull() & ~p.isin(*labels)), " | ")
+    return F.transform(F.array(joined), lambda j: F.when(j == "", F.lit("No summary")).otherwise(j))[0]
 
 
 def finished(pieces: DataFrame) -> DataFrame:
@@ -143,15 +169,15 @@ def finished(pieces: DataFrame) -> DataFrame:
 def chunk_corpus(docs: DataFrame, max_size: int = MAX_CHUNK, strategy: str = "sections") -> DataFrame:
     """Chunks of every document (document_id, text): id, content, chunk_index, token_count, chunk_type, parent_id and metadata.
 
-    ``strategy`` is "sections" or, without regard to headings, "paragraphs". Blank documents give no chunk. Work is spread by
-    document first, as documents differ much in length.
+    ``strategy`` is "sections" or, without regard to headings, "paragraphs". Blank documents give no chunk. The one shuffle, by
+    document, comes before packing and numbering, as documents differ much in length.
     """
-    filled = docs.select("document_id", "text").filter(F.coalesce(trimmed(F.col("text")), F.lit("")) != "").repartition("document_id")
+    filled = docs.select("document_id", "text").filter(F.col("text").rlike(FILLED))
     if strategy == "paragraphs":
-        parts = filled.select("document_id", F.posexplode(packed_paragraphs(F.col("text"), max_size)).alias("part", "piece"))
+        parts = filled.repartition("document_id").select("document_id", F.posexplode(packed_paragraphs(F.col("text"), max_size)).alias("part", "piece"))
         return finished(parts.withColumn("section", F.lit(0)).withColumn("breadcrumbs", F.array().cast("array<string>")))
-    ready = filled.withColumn("text", tables_as_pipes(cleaned(F.col("text"))))
-    kept = sections(ready).filter(F.length(trimmed(F.col("content"))) >= MIN_SECTION)
+    ready = filled.withColumn("text", cleaned(F.col("text"))).withColumn("text", tables_as_pipes(F.col("text")))
+    kept = sections(ready).filter(F.length(trimmed(F.col("content"))) >= MIN_SECTION).repartition("document_id")
     pieces = F.when(F.length("content") <= max_size, F.array("content")).otherwise(packed(F.col("content"), F.col("breadcrumbs"), max_size))
     return finished(kept.select("document_id", "section", "breadcrumbs", F.posexplode(pieces).alias("part", "piece")))
 

@@ -77,3 +77,24 @@ def test_reassemble_query_keeps_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, f"src{i % 2}", "en", len(t), t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.document_id: r.markdown for r in queries()["reassemble_chunks"](spark, str(tmp_path)).collect()}
     assert {i: "".join(m.split()) for i, m in found.items()} == {i: f"#src{i % 2}" + "".join(t.split()) for i, t in enumerate(texts)}
+
+
+def test_odd_headings_and_fences(spark):
+    texts = {
+        1: "before\n# A\r\n####### seven\n#none\n## B \n```\n# fenced\n```\n# C ``` d\n### ﻿D",
+        2: "```\n# a fence that is never closed protects nothing",
+        3: "# 𝒶 more\n#\tTab",
+        4: "",
+        5: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "document_id int, text string")
+    found = {}
+    for r in c.sections(docs).orderBy("document_id", "section").collect():
+        found.setdefault(r.document_id, []).append((r.section, r.content, r.breadcrumbs))
+    assert found == {
+        1: [(0, "before", []), (1, "# A\r\n####### seven\n#none", ["A"]), (2, "## B \n```\n# fenced\n```\n# C ``` d", ["A", "B"]), (3, "### ﻿D", ["A", "B", "D"])],
+        2: [(0, "```", []), (1, "# a fence that is never closed protects nothing", ["a fence that is never closed protects nothing"])],
+        3: [(0, "# 𝒶 more", []), (1, "#\tTab", ["Tab"])],
+        4: [(0, "", [])],
+    }
+    assert c.sections(docs.filter("document_id = 5")).collect() == [] and c.sections(docs.limit(0)).collect() == []
