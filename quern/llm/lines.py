@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ _SAMPLE, _CELL_BITS = 20_000, 23
 _RARE, _COMMON, _WORD = 64, 16, 68
 #: Keys up to this cost are alike in the second order: those of lines that a sample has 8 times or less.
 _ALIKE = 64
-#: Keys that a line shows at most, unless every pair is asked for: all that are needed up to 29 words.
+#: Keys that a line shows at most if not every pair is asked for: all that are needed up to 29 words.
 MOST_KEYS = 16
+#: Parts (a power of two) in which keys are brought together, one after the other: they bound the disk that a shuffle takes, not the result.
+_PARTS = 4
 #: Buckets of up to so many lines are compared pair by pair, larger ones with their first line and then by blocks in tasks.
 _SMALL = 32
 #: Lines of fewer words are alike only if they are equal.
@@ -229,18 +231,16 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return levels[0], levels[1]
 
 
-OCCURRENCES = "low long, high long, doc_id long, line int, words int, sketch_0 long, sketch_1 long, keys array<long>"
+OCCURRENCES = "low long, high long, doc_id long, line int, words int, sketch_0 long, sketch_1 long"
 
 
-def line_occurrences(docs: DataFrame, similarity: float, min_words: int, most_keys: int) -> DataFrame:
-    """The digest (low, high), place and number of words of every line but blanks; of longer lines sketch and keys, too.
+def line_occurrences(docs: DataFrame) -> DataFrame:
+    """The digest (low, high), place, number of words and sketch of every line but blanks.
 
-    Each word of a line turns over one of the 128 bits of its sketch. A line that a task has just seen elsewhere has no keys: equal lines have equal ones.
+    Each word of a line turns over one of the 128 bits of its sketch.
     """
-    level = rarity(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in sized_slices(batches, 1):
             texts = batch.column(1).to_pylist()
             words, text, number, first, count = line_words(texts)
@@ -255,12 +255,6 @@ def line_occurrences(docs: DataFrame, similarity: float, min_words: int, most_ke
                 low, high = line_digests(words[place], rank, start)
                 bit = words[place] >> np.uint64(57)
                 sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), start).view(np.int64) for half in (0, 1)]
-            if len(seen) > 500_000:
-                seen.clear()
-            own = low.tolist()
-            fresh = np.fromiter((d not in seen and not seen.add(d) for d in own), bool, len(own)) & (size >= min_words)
-            place, _ = in_line(first[chosen[fresh]], size[fresh])
-            shown, keys = rare_pairs(words[place], size[fresh], level, similarity, most_keys)
             # lines of marks only have no words, so their own characters count
             bare = np.flatnonzero(count == 0)
             parts = {t: (texts[t] or "").split("\n") for t in set(text[bare].tolist())}
@@ -269,16 +263,45 @@ def line_occurrences(docs: DataFrame, similarity: float, min_words: int, most_ke
             digests = np.frombuffer(b"".join(d for _, d in marks), np.int64).reshape(-1, 2)
             every = np.concatenate([chosen, np.array([i for i, _ in marks], np.int64)])
             if len(every):
-                lists = np.zeros(len(every) + 1, np.int32)
-                lists[1 : len(chosen) + 1][fresh] = shown
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lists, dtype=np.int32)), pa.array(keys))
                 sketches = [pa.array(np.concatenate([half, np.zeros(len(marks), np.int64)])) for half in sketch]
                 columns = [pa.array(np.concatenate([a, b])) for a, b in zip((low, high), digests.T)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[text[every]]), pa.array(number[every], pa.int32()), pa.array(count[every], pa.int32()), *sketches, lists], ["low", "high", "doc_id", "line", "words", "sketch_0", "sketch_1", "keys"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[text[every]]), pa.array(number[every], pa.int32()), pa.array(count[every], pa.int32()), *sketches], ["low", "high", "doc_id", "line", "words", "sketch_0", "sketch_1"])
 
     return docs.filter("doc_id IS NOT NULL").mapInArrow(run, OCCURRENCES)
 
 
+def line_keys(docs: DataFrame, similarity: float, min_words: int, most_keys: int) -> DataFrame:
+    """id (the digest's low half) and keys of the lines of ``min_words`` words or more, the keys in _PARTS columns by their last bits.
+
+    A line that a task has just seen elsewhere is left out: equal lines have equal keys.
+    """
+    level = rarity(docs)
+    names = [f"keys_{part}" for part in range(_PARTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in sized_slices(batches, 0):
+            words, _, _, first, count = line_words(batch.column(0).to_pylist())
+            first, size = first[count >= min_words], count[count >= min_words]
+            if not len(size):
+                continue
+            place, rank = in_line(first, size)
+            low = line_digests(words[place], rank, np.cumsum(size) - size)[0]
+            if len(seen) > 500_000:
+                seen.clear()
+            fresh = np.fromiter((d not in seen and not seen.add(d) for d in low.tolist()), bool, len(low))
+            place, _ = in_line(first[fresh], size[fresh])
+            shown, keys = rare_pairs(words[place], size[fresh], level, similarity, most_keys)
+            owner, part = np.repeat(np.arange(len(shown)), shown), keys & (_PARTS - 1)
+            lists = []
+            for i in range(_PARTS):
+                ends = np.cumsum(np.bincount(owner[part == i], minlength=len(shown)), dtype=np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.array(keys[part == i])))
+            yield pa.RecordBatch.from_arrays([pa.array(low[fresh]), *lists], ["id", *names])
+
+    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, ", ".join(["id long", *(f"{n} array<long>" for n in names)]))
+
+
 def line_symbols(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and symbols of the lines of ``wanted`` (id, doc_id, line): one character of the supplementary planes for each word."""
 
@@ -380,15 +403,17 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
     return in_blocks(members, "key").join(lines, "id").groupBy("key", "one", "other").applyInArrow(linked, "a long, b long")
 
 
-def line_groups(docs: DataFrame, found: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """id and group of every line of ``found`` that is linked with another.
+def line_groups(docs: DataFrame, distinct: DataFrame, similarity: float, min_words: int, most_keys: int) -> DataFrame:
+    """id and group of every line of ``distinct`` that is linked with another.
 
     Lines are linked when they share a key and are alike in edits. Small buckets are compared pair by pair, every large one with its first
     line; then, in large buckets that still hold several groups, the lines outside the largest group with all others.
     Only lines in pairs that sketches leave, and those of large buckets, are fetched from the texts.
     """
-    keyed = found.filter(F.size("keys") > 0).select(F.col("low").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))
-    placed = stored(bucketed(keyed, "key"))
+    keys = stored(line_keys(docs, similarity, min_words, most_keys))
+    parts = [stored(bucketed(keys.select("id", F.explode(f"keys_{part}").alias("key")), "key")) for part in range(_PARTS)]
+    discard(keys)
+    placed = reduce(DataFrame.union, parts)
     lines = distinct.select(F.col("low").alias("id"), "words", "sketch_0", "sketch_1", "doc_id", "line")
     most = F.floor(F.greatest("x.words", "y.words") * F.lit(1 - similarity) + 1e-9)
     bits = sum((F.bit_count(F.col(f"x.sketch_{half}").bitwiseXOR(F.col(f"y.sketch_{half}"))) for half in (0, 1)), F.lit(0))
@@ -408,7 +433,7 @@ def line_groups(docs: DataFrame, found: DataFrame, distinct: DataFrame, similari
     members = stored(large.select("key", "id").join(alike, "key", "left_semi").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
     more = stored(large_links(members, small.join(texts, "id").dropDuplicates(["id"]), similarity))
     groups = connected_components(links.union(more)).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    discard(placed, pairs, texts, links, members, more)
+    discard(*parts, pairs, texts, links, members, more)
     return groups
 
 
@@ -419,14 +444,14 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = FU
     """
     if similarity < 0.8:
         raise ValueError("below 0.8, lines that are alike need not share a key")
-    found = stored(line_occurrences(docs, similarity, min_words, 1 << 30 if every_pair else MOST_KEYS))
+    found = stored(line_occurrences(docs))
     # a place as one number, doc_id then line, so that the aggregation can hash
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + F.col("line")
     packed = found.select("low", "high", place.alias("place"), "words", "sketch_0", "sketch_1")
     distinct = packed.groupBy("low", "high").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("words", "sketch_0", "sketch_1")))
     line = F.pmod(F.col("place"), F.lit(_LINES)).cast("int")
     distinct = stored(distinct.select("low", "high", F.floor((F.col("place") - line) / F.lit(_LINES)).cast("long").alias("doc_id"), line.alias("line"), "words", "sketch_0", "sketch_1", "n"))
-    linked = line_groups(docs, found, distinct, similarity)
+    linked = line_groups(docs, distinct, similarity, min_words, 1 << 30 if every_pair else MOST_KEYS)
     # only lines that stand twice or are linked can go
     groups = distinct.drop("words", "sketch_0", "sketch_1").join(linked.withColumnRenamed("id", "low"), "low", "left").filter("n > 1 OR group IS NOT NULL")
     alone = groups.filter("group IS NULL").select("low", "high", F.col("doc_id").alias("keep_doc"), F.col("line").alias("keep_line"))

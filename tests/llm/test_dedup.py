@@ -222,6 +222,20 @@ def test_line_query_takes_short_and_unspaced_lines(spark, tmp_path):
     assert rows == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in enumerate(want)}
 
 
+def form_letters(n):
+    """Lines of 60 words that differ in every fifth, so as far as alike lines may: their rarest pairs are all their own."""
+    rng = np.random.default_rng(6)
+    word = lambda i: "s" + "".join(chr(97 + int(i) // 26**k % 26) for k in range(5))
+    return [" ".join(word(rng.integers(1000, 26**5)) if at % 5 == 4 else f"form{chr(97 + at // 8)}{chr(97 + at % 8)}" for at in range(60)) for _ in range(n)]
+
+
+def test_line_query_finds_long_lines_that_share_common_pairs_only(spark, tmp_path):
+    """The 16 rarest pairs of such lines meet in no bucket; one of all pairs that an edit may spoil does."""
+    spark.createDataFrame(list(enumerate(form_letters(2600))), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert len(rows) == 2600 and {r.doc_id for r in rows if not r.n_removed} == {0}
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Call us on 555 today, please!"), (2, "CALL US ON 777 TODAY PLEASE"), (3, "Yes.\nYes.")]
     found = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
