@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, mixed, sized_slices, spread, stored
-from .components import Roots, connected_components, in_blocks
+from .components import connected_components, in_blocks
 
 #: ASCII marks and control characters end words, and every digit counts as 0. Capitals are lower-cased before.
 _FOLDED = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A or b == 0x0A else 0x30 if 0x30 <= b <= 0x39 else 0x20 for b in range(256))
@@ -375,16 +375,18 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
 
     def linked(group: pa.Table) -> pa.Table:
         outside = group["outside"].to_numpy()
-        ids, component, words = (group[c].to_numpy().astype(np.int64) for c in ("id", "component", "words"))
+        ids, component, words = (group[c].to_numpy().astype(np.int64, copy=True) for c in ("id", "component", "words"))
         sketch = [group[c].to_numpy() for c in ("sketch_0", "sketch_1")]
-        symbols, roots, out = group["symbols"].to_pylist(), Roots(), ([], [])
+        symbols, out = group["symbols"].to_pylist(), ([], [])
         inside = np.flatnonzero(~outside)
         _, codes = np.unique(np.frombuffer("".join(symbols).encode("utf-32-le"), "<u4"), return_inverse=True)
         first, mark = np.cumsum(words) - words, np.ones(len(codes), bool)
         for i in np.flatnonzero(outside).tolist():
-            most = most_edits(np.maximum(words[inside], words[i]), similarity)
-            bits = sum(np.bitwise_count(half[inside] ^ half[i]).astype(np.int64) for half in sketch)
-            near = inside[(component[inside] != component[i]) & (np.abs(words[inside] - words[i]) <= most) & (bits <= 2 * most)]
+            near = inside[component[inside] != component[i]]
+            most = most_edits(np.maximum(words[near], words[i]), similarity)
+            bits = sum(np.bitwise_count(half[near] ^ half[i]).astype(np.int64) for half in sketch)
+            left = (np.abs(words[near] - words[i]) <= most) & (bits <= 2 * most)
+            near, most = near[left], most[left]
             if not len(near):
                 continue
             # words that only one of two lines has are edits
@@ -392,12 +394,15 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
             mark[own] = False
             foreign = np.add.reduceat(mark[codes[in_line(first[near], words[near])[0]]], np.cumsum(words[near]) - words[near], dtype=np.int64)
             mark[own] = True
-            for j in near[foreign <= most_edits(np.maximum(words[near], words[i]), similarity)].tolist():
-                a, b = roots.root(int(component[i])), roots.root(int(component[j]))
-                if a != b and edits_within(symbols[i], symbols[j], int(most_edits(max(words[i], words[j]), similarity))):
-                    roots.join(a, b)
+            near, most = near[foreign <= most], most[foreign <= most]
+            while len(near):
+                j, limit, near, most = int(near[0]), int(most[0]), near[1:], most[1:]
+                if edits_within(symbols[i], symbols[j], limit):
                     out[0].append(int(ids[i]))
                     out[1].append(int(ids[j]))
+                    # what is one component by now is not compared again
+                    component[component == component[j]] = component[i]
+                    near, most = near[component[near] != component[i]], most[component[near] != component[i]]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     return in_blocks(members, "key").join(lines, "id").groupBy("key", "one", "other").applyInArrow(linked, "a long, b long")
@@ -437,7 +442,7 @@ def line_groups(docs: DataFrame, distinct: DataFrame, similarity: float, min_wor
     return groups
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = FUZZY_WORDS, every_pair: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = FUZZY_WORDS, every_pair: bool = True) -> DataFrame:
     """doc_id and lines (from 0) that repeat an earlier one, for every document that has such.
 
     Of each connected group of lines the occurrence with the smallest (doc_id, line) stays; all its other occurrences are named.
@@ -464,14 +469,13 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = FU
     return lists
 
 
-def dedupe_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = FUZZY_WORDS, every_pair: bool = False) -> DataFrame:
+def dedupe_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = FUZZY_WORDS, every_pair: bool = True) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with repeated lines taken out of text, and n_lines and n_removed.
 
     Lines are split at line feeds; lines are equal if they are so after folding, whatever their length, but blank ones are left alone. Lines
     of ``min_words`` words or more repeat one another if their edit similarity in words is ``similarity`` at least, directly or by others
-    between. Every such pair is found among lines of up to 29 words. Longer lines show 16 keys, half of them the rarest, half chosen by hash, which may leave a pair at the limit
-    undetected (tests ask for 97 % with the tables' own order of rarity); ``every_pair`` shows all keys that are needed and finds every pair of any length, at several
-    times the cost.
+    between. Every such pair is found, whatever the lines' length: each line shows as many keys as the edits that are allowed may spoil, and one more.
+    Without ``every_pair`` lines of over 29 words show 16 keys, half of them the rarest, half chosen by hash, which is cheaper and may leave pairs undetected.
 
     Documents keep their row, with an empty text if nothing is left; a null text stays null with 0 lines, an empty one has 1. Rows that repeat
     a doc_id share what is removed; rows with a null doc_id lose nothing. Very long lines are compared whole, in words. Columns of

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quern.llm import lines, minhash, queries, suffixes
 from quern.llm.components import connected_components
 
@@ -236,6 +237,11 @@ def test_line_query_finds_long_lines_that_share_common_pairs_only(spark, tmp_pat
     assert len(rows) == 2600 and {r.doc_id for r in rows if not r.n_removed} == {0}
 
 
+def test_pipeline_stage_finds_long_lines_that_share_common_pairs_only(spark):
+    docs = spark.createDataFrame(list(enumerate(form_letters(2600))), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()] == [0]
+
+
 def test_line_normal_form(spark):
     rows = [(1, "Call us on 555 today, please!"), (2, "CALL US ON 777 TODAY PLEASE"), (3, "Yes.\nYes.")]
     found = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
