@@ -216,6 +216,16 @@ def test_wrapper_decides_inside_an_article():
     assert [html_text.main_text(p, wrapper) for p in short[:6]] == [f"s{i}" for i in range(6)]
 
 
+def test_pages_outside_the_sample_are_heard(spark):
+    """A block that the sampled pages agree on is no template if another page of the host says something else there."""
+    rows = [(i, "http://one.example/", f"<article><h1>{'Daily news' if i else 'Own head'}</h1><p>{' '.join(f'w{i}x{k}' for k in range(30))}</p></article>") for i in range(40)]
+    rows += [(i, "http://two.example/", rows[1][2].replace("w1", f"v{i}")) for i in range(40, 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()}
+    heads = {i: text.partition("\n")[0] if "\n" in text else None for i, text in found.items()}
+    assert heads == {0: "Own head", **{i: "Daily news" if i < 40 else None for i in range(1, 60)}}
+
+
 def test_malformed_tags_take_linear_time():
     sources = ("<a " * 100_000, '<a b="' * 100_000, "<!x " * 100_000, "<?" * 100_000, "</" * 100_000, '<a b=">" ' * 50_000, "<a" * 100_000 + '"', "<b '\">" * 50_000, "<a x='\"' >'" * 30_000 + '"', "<" + "a" * 200_000 + '">', "&#" + "9" * 200_000 + ";<p>", "&#" * 100_000)
     for source in sources:
