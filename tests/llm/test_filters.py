@@ -302,6 +302,18 @@ def test_odd_tables(spark, operator):
     assert operator(spark.createDataFrame(rows, schema)).count() == 5
 
 
+def test_one_parse_of_a_page_answers_for_every_wrapper():
+    page = "<header><p>site</p></header><div class='a'><p>one</p><div class='b'><p>two</p><ul><li>three</li></ul></div></div><div class='b'><p>four</p></div>"
+    nodes, blocks = html_text.parse(page)
+    keys = [html_text.block_key(b) for b in blocks]
+    for region in {n.path for n in nodes}:
+        within = [b for b in html_text.parse(page, region)[1] if b.node.in_region and not b.node.aside]
+        found = html_text.evidence(nodes, blocks, keys, {"region": region, "asides": [], "template": {}})
+        assert found == ({"r:": (sum(len(b.text) for b in within), 15)} if within else {}), region
+    said = {keys[1]: blocks[1].node.path, "other": blocks[2].node.path, "elsewhere": 7}
+    assert html_text.evidence(nodes, blocks, keys, {"region": 0, "asides": [], "template": said}) == {"t:other": (1, 1)}
+
+
 def test_html_layouts_of_a_host(spark):
     """A layout that a sample of the host may miss, and a notice on few pages, are learned from pages of their own layout."""
 
