@@ -47,6 +47,8 @@ MOST_KEYS = 16
 _PARTS = 4
 #: Buckets of up to so many lines are compared pair by pair, larger ones with their first line and then by blocks in tasks.
 _SMALL = 32
+#: Pairs of lines in a large bucket whose sketches are compared at once.
+_AT_ONCE = 1 << 16
 #: Lines of fewer words are alike only if they are equal.
 FUZZY_WORDS = 4
 #: An odd factor and the random value of each byte: a word's code is a polynomial in the factor.
@@ -367,25 +369,42 @@ def edits_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def sketched(outside: np.ndarray, inside: np.ndarray, component: np.ndarray, words: np.ndarray, sketch: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each line of ``outside`` with those of ``inside`` that are in other components and may be alike by lengths and sketches, and the most edits of each pair."""
+    allowed = most_edits(words, similarity)
+    step = max(1, _AT_ONCE // max(1, len(inside)))
+    for at in range(0, len(outside), step):
+        some = outside[at : at + step, None]
+        most = np.maximum(allowed[some], allowed[inside])
+        bits = sum(np.bitwise_count(half[some] ^ half[inside]).astype(np.int64) for half in sketch)  # an edit turns over two bits at most
+        row, column = np.nonzero((bits <= 2 * most) & (np.abs(words[some] - words[inside]) <= most) & (component[some] != component[inside]))
+        ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1 if len(row) else []
+        start = 0
+        for end in ends:
+            r, c = row[start], column[start:end]
+            yield int(some[r, 0]), inside[c], most[r, c]
+            start = end
+
+
 def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between lines (id, words, sketch_0, sketch_1, symbols) of different components in buckets (key, id, component).
 
-    Pairs of blocks are compared in a task, sketches first; only links that join components leave it, fewer than there are lines.
+    Pairs of blocks are compared in a task, sketches first and of many lines at once; only links that join components leave it, fewer than there are lines.
     """
 
     def linked(group: pa.Table) -> pa.Table:
         outside = group["outside"].to_numpy()
         ids, component, words = (group[c].to_numpy().astype(np.int64, copy=True) for c in ("id", "component", "words"))
         sketch = [group[c].to_numpy() for c in ("sketch_0", "sketch_1")]
-        symbols, out = group["symbols"].to_pylist(), ([], [])
-        inside = np.flatnonzero(~outside)
-        _, codes = np.unique(np.frombuffer("".join(symbols).encode("utf-32-le"), "<u4"), return_inverse=True)
-        first, mark = np.cumsum(words) - words, np.ones(len(codes), bool)
-        for i in np.flatnonzero(outside).tolist():
-            near = inside[component[inside] != component[i]]
-            most = most_edits(np.maximum(words[near], words[i]), similarity)
-            bits = sum(np.bitwise_count(half[near] ^ half[i]).astype(np.int64) for half in sketch)
-            left = (np.abs(words[near] - words[i]) <= most) & (bits <= 2 * most)
+        out = ([], [])
+        symbols = None
+        for i, near, most in sketched(np.flatnonzero(outside), np.flatnonzero(~outside), component, words, sketch, similarity):
+            if symbols is None:
+                symbols = group["symbols"].to_pylist()
+                _, codes = np.unique(np.frombuffer("".join(symbols).encode("utf-32-le"), "<u4"), return_inverse=True)
+                first, mark = np.cumsum(words) - words, np.ones(len(codes), bool)
+            # what has become one component since is not compared again
+            left = component[near] != component[i]
             near, most = near[left], most[left]
             if not len(near):
                 continue
@@ -400,9 +419,9 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
                 if edits_within(symbols[i], symbols[j], limit):
                     out[0].append(int(ids[i]))
                     out[1].append(int(ids[j]))
-                    # what is one component by now is not compared again
                     component[component == component[j]] = component[i]
-                    near, most = near[component[near] != component[i]], most[component[near] != component[i]]
+                    left = component[near] != component[i]
+                    near, most = near[left], most[left]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     return in_blocks(members, "key").join(lines, "id").groupBy("key", "one", "other").applyInArrow(linked, "a long, b long")

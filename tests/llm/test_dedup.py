@@ -136,6 +136,25 @@ def test_large_buckets_match_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.n_removed} == {i for i in range(len(words)) if want[i] != i}
 
 
+@pytest.mark.parametrize("at_once", [1, 100, 1 << 16])
+def test_sketches_of_many_lines_leave_the_same_pairs(monkeypatch, at_once):
+    monkeypatch.setattr(lines, "_AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    words, component = rng.integers(4, 60, 70), rng.integers(0, 9, 70)
+    sketch = [rng.integers(0, 1 << 12, 70), rng.integers(0, 1 << 6, 70)]
+    outside, inside = np.arange(0, 70, 2), np.arange(1, 70, 2)
+    found = [(i, j, m) for i, near, most in lines.sketched(outside, inside, component, words, sketch, 0.8) for j, m in zip(near.tolist(), most.tolist())]
+    want = []
+    for i in outside.tolist():
+        for j in inside.tolist():
+            most = int(max(words[i], words[j]) * 0.2 + 1e-9)
+            bits = sum(int(half[i] ^ half[j]).bit_count() for half in sketch)
+            if component[i] != component[j] and abs(words[i] - words[j]) <= most and bits <= 2 * most:
+                want.append((i, j, most))
+    assert found == want and len(want) > 20
+    assert not list(lines.sketched(outside[:0], inside, component, words, sketch, 0.8)) and not list(lines.sketched(outside, inside[:0], component, words, sketch, 0.8))
+
+
 def test_pairs_at_the_limit_are_found():
     """The share of pairs at the limit that show a common key, by length: all up to 29 words, 98.5 % beyond; all of any length with every key."""
     rng = np.random.default_rng(2)
