@@ -49,6 +49,8 @@ _PARTS = 4
 _SMALL = 32
 #: Pairs of lines in a large bucket whose sketches are compared at once.
 _AT_ONCE = 1 << 16
+#: Lines of which a task remembers that their keys are out already.
+_SEEN = 100_000
 #: Lines of fewer words are alike only if they are equal.
 FUZZY_WORDS = 4
 #: An odd factor and the random value of each byte: a word's code is a polynomial in the factor.
@@ -289,7 +291,7 @@ def line_keys(docs: DataFrame, similarity: float, min_words: int, most_keys: int
                 continue
             place, rank = in_line(first, size)
             low = line_digests(words[place], rank, np.cumsum(size) - size)[0]
-            if len(seen) > 500_000:
+            if len(seen) > _SEEN:
                 seen.clear()
             fresh = np.fromiter((d not in seen and not seen.add(d) for d in low.tolist()), bool, len(low))
             place, _ = in_line(first[fresh], size[fresh])

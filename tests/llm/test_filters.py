@@ -6,6 +6,7 @@ import re
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -336,3 +337,16 @@ def test_html_layout_is_linear():
     for source in ("<div " * 200_000, "<div>" * 200_000, "<div class='" * 100_000, "</div>" * 200_000):
         assert isinstance(html_text.layout(source), int)
     assert html_text.layout("<div class='a1'>x</div>") == html_text.layout("<DIV class=a2><p>y</DIV>") != html_text.layout("<div class='b'>x</div>")
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    from quern.llm import common
+
+    conf = spark.conf.get(common._BATCH_CONF)
+    try:
+        for asked, want in (("10000", common._BATCH_ROWS), ("0", common._BATCH_ROWS), ("300", 300)):
+            spark.conf.set(common._BATCH_CONF, asked)
+            rows = common.spread(spark.range(20_000, numPartitions=2).withColumn("text", F.lit("x"))).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches), "n long")
+            assert rows.agg(F.max("n"), F.sum("n")).first() == (want, 20_000)
+    finally:
+        spark.conf.set(common._BATCH_CONF, conf)
