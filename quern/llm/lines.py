@@ -11,12 +11,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, mixed, sized_slices, spread, stored
@@ -43,11 +44,16 @@ _RARE, _COMMON, _WORD = 64, 16, 68
 _ALIKE = 64
 #: Keys that a line shows at most if not every pair is asked for: all that are needed up to 29 words.
 MOST_KEYS = 16
-#: Parts (a power of two) in which keys are brought together, one after the other: they bound the disk that a shuffle takes, not the result.
-_PARTS = 4
-#: Buckets of up to so many lines are compared pair by pair, larger ones with their first line and then by blocks in tasks.
-_SMALL = 32
-#: Pairs of lines in a large bucket whose sketches are compared at once.
+#: Parts of all keys for each partition of the documents, and bits of a key beside its part. There are 128 parts at least, so a key has 39 bits or more.
+_PARTS, _REST = 2, 32
+#: Keys of a part that a task holds before it hands them on, and of all parts at most.
+_HELD, _MOST_HELD = 2048, 1 << 20
+#: Of buckets of up to so many lines all pairs with near sketches are compared. In larger ones those lines that are near any other are compared with the
+#: first of them, then by blocks in tasks; of buckets of more than _WHOLE lines, which no task holds, all lines.
+_SMALL, _WHOLE = 32, 1024
+#: Bucket rows that a task holds, beside those of the last bucket.
+_ROWS = 1 << 15
+#: Pairs of lines whose sketches are compared at once.
 _AT_ONCE = 1 << 16
 #: Lines of which a task remembers that their keys are out already.
 _SEEN = 100_000
@@ -275,15 +281,30 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def line_keys(docs: DataFrame, similarity: float, min_words: int, most_keys: int) -> DataFrame:
-    """id (the digest's low half) and keys of the lines of ``min_words`` words or more, the keys in _PARTS columns by their last bits.
+    """Keys and ids (digests' low halves) of the lines of ``min_words`` words or more, packed by part: the first bits of a key say its part, ``rest`` holds the next 32.
 
     A line that a task has just seen elsewhere is left out: equal lines have equal keys.
     """
     level = rarity(docs)
-    names = [f"keys_{part}" for part in range(_PARTS)]
+    bits = max(39 - _REST, (_PARTS * docs.rdd.getNumPartitions() - 1).bit_length())
+    most_held = min(_HELD << bits, _MOST_HELD)
+
+    def packed(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        rest = (keys >> np.uint64(64 - bits - _REST)).astype("<u4")
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        last = np.append(first[1:], len(part))
+        for at in range(0, len(first), 256):
+            ends = list(zip(first[at : at + 256].tolist(), last[at : at + 256].tolist()))
+            columns = [pa.array(part[first[at : at + 256]], pa.int32()), *(pa.array([v[a:b].tobytes() for a, b in ends], pa.binary()) for v in (rest, ids))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "rest", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, size_held = ([], []), 0
         for batch in sized_slices(batches, 0):
             words, _, _, first, count = line_words(batch.column(0).to_pylist())
             first, size = first[count >= min_words], count[count >= min_words]
@@ -296,14 +317,55 @@ def line_keys(docs: DataFrame, similarity: float, min_words: int, most_keys: int
             fresh = np.fromiter((d not in seen and not seen.add(d) for d in low.tolist()), bool, len(low))
             place, _ = in_line(first[fresh], size[fresh])
             shown, keys = rare_pairs(words[place], size[fresh], level, similarity, most_keys)
-            owner, part = np.repeat(np.arange(len(shown)), shown), keys & (_PARTS - 1)
-            lists = []
-            for i in range(_PARTS):
-                ends = np.cumsum(np.bincount(owner[part == i], minlength=len(shown)), dtype=np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.array(keys[part == i])))
-            yield pa.RecordBatch.from_arrays([pa.array(low[fresh]), *lists], ["id", *names])
+            held[0].append(keys)
+            held[1].append(np.repeat(low[fresh], shown))
+            size_held += len(keys)
+            if size_held > most_held:
+                yield from packed(*map(np.concatenate, held))
+                held, size_held = ([], []), 0
+        if size_held:
+            yield from packed(*map(np.concatenate, held))
+
+    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "part int, rest binary, ids binary")
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """key, id and n (lines of the bucket) of all buckets of two lines or more, from packed ``keys``: each part is sorted as a whole where it meets."""
+
+    def shared(part: int, rest: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not rest:
+            return
+        key, own = np.frombuffer(b"".join(rest), "<u4"), np.frombuffer(b"".join(ids), np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        key, own = key[several], own[order[several]]
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        if len(key):  # a line that several tasks have met counts once
+            fresh = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+            key, own = key[fresh], own[fresh]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            n = np.repeat(size, size)
+            key, own, n = key[n > 1], own[n > 1], n[n > 1]
+        for at in range(0, len(key), 1 << 16):
+            piece = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(key[piece].astype(np.int64) | part << _REST), pa.array(own[piece]), pa.array(n[piece], pa.int64())], ["key", "id", "n"])
 
-    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, ", ".join(["id long", *(f"{n} array<long>" for n in names)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, ids = -1, [], []
+        for batch in batches:
+            for part, r, i in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    yield from shared(now, rest, ids)
+                    now, rest, ids = part, [], []
+                rest.append(r)
+                ids.append(i)
+        yield from shared(now, rest, ids)
+
+    return keys.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, id long, n long")
 
 
 def line_symbols(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -333,18 +395,72 @@ def edit_alike(a: Column, b: Column, similarity: float) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & near
 
 
-def bucket_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, id, lead, n): all of a small bucket, and those with the first line of a large one."""
-    ids = members.filter(F.col("n") <= _SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    each = F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.lit(_SMALL)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    small = ids.select(F.explode(F.flatten(each)).alias("pair")).select("pair.*")
-    return small.union(members.filter((F.col("n") > _SMALL) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))).distinct()
+def turned(sketch: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of lines differ; an edit turns over two at most. Of a negative number numpy would count those of its absolute value."""
+    return sum(np.bitwise_count((half[one] ^ half[other]).view(np.uint64)).astype(np.int64) for half in sketch)
 
 
-def bucketed(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (key, id) in buckets of two lines at least, with the bucket's first line and number of rows."""
-    bucket = Window.partitionBy(key)
-    return rows.withColumns({"lead": F.min("id").over(bucket), "last": F.max("id").over(bucket), "n": F.count(F.lit(1)).over(bucket)}).filter("lead <> last").drop("last")
+def near_lines(members: DataFrame, similarity: float) -> DataFrame:
+    """What sketches leave of ``members`` (key, id, n, words, sketch_0, sketch_1): pairs (a, b) with a null key, and members (key, a) of large buckets.
+
+    Pairs are all near ones of a small bucket. In a larger one the lines that are near any other stay members, and make pairs with the first of them if near. Of a bucket
+    of over _WHOLE lines all stay, and it goes through a task without being held.
+    """
+
+    def near(words: np.ndarray, sketch: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        most = most_edits(np.maximum(words[one], words[other]), similarity)
+        return (turned(sketch, one, other) <= 2 * most) & (np.abs(words[one] - words[other]) <= most)
+
+    def left(rows: list[np.ndarray], begun: bool) -> Iterator[pa.RecordBatch]:
+        """``begun``: the first row was seen before and is only there to be compared with."""
+        key, ids, n, words, *sketch = rows
+        place = np.arange(len(key))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        lead, size, whole = np.repeat(first, size), np.repeat(size, size), n <= _WHOLE
+        others = np.where(whole, lead + size - 1 - place, 0)
+        total = np.cumsum(others)
+        active, pairs, at = ~whole, [], 0
+        while at < len(key):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, "right")))
+            one = np.repeat(place[at:end], others[at:end])
+            other, _ = in_line(place[at:end] + 1, others[at:end])
+            kept = near(words, sketch, one, other)
+            one, other = one[kept], other[kept]
+            small = size[one] <= _SMALL
+            pairs.append((one[small], other[small]))
+            active[one[~small]] = active[other[~small]] = True
+            at = end
+        some = np.flatnonzero(active)
+        start = some[np.searchsorted(lead[some], lead[some])]
+        kept = (start != some) & near(words, sketch, start, some)
+        pairs.append((start[kept], some[kept]))
+        a, b = (ids[np.concatenate(x)] for x in zip(*pairs))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+        some = some[int(begun and active[0]) :]
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(ids[some]), pa.nulls(len(some), pa.int64())], ["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begun = [], False
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append([c.to_numpy() for c in batch.columns])
+                if sum(len(h[0]) for h in held) < _ROWS:
+                    continue
+            if not held:
+                break
+            rows = [np.concatenate(c) for c in zip(*held)]
+            key, n = rows[0], rows[2]
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            goes_on = batch is not None and n[-1] > _WHOLE
+            end = len(key) if batch is None or goes_on else last
+            if end:
+                yield from left([c[:end] for c in rows], begun)
+                begun = goes_on
+            held = [[c[last : last + 1] if goes_on else c[end:] for c in rows]]
+
+    rows = members.select("key", "id", "n", "words", "sketch_0", "sketch_1")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, a long, b long")
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
@@ -378,7 +494,7 @@ def sketched(outside: np.ndarray, inside: np.ndarray, component: np.ndarray, wor
     for at in range(0, len(outside), step):
         some = outside[at : at + step, None]
         most = np.maximum(allowed[some], allowed[inside])
-        bits = sum(np.bitwise_count(half[some] ^ half[inside]).astype(np.int64) for half in sketch)  # an edit turns over two bits at most
+        bits = turned(sketch, some, inside)
         row, column = np.nonzero((bits <= 2 * most) & (np.abs(words[some] - words[inside]) <= most) & (component[some] != component[inside]))
         ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1 if len(row) else []
         start = 0
@@ -432,34 +548,28 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
 def line_groups(docs: DataFrame, distinct: DataFrame, similarity: float, min_words: int, most_keys: int) -> DataFrame:
     """id and group of every line of ``distinct`` that is linked with another.
 
-    Lines are linked when they share a key and are alike in edits. Small buckets are compared pair by pair, every large one with its first
-    line; then, in large buckets that still hold several groups, the lines outside the largest group with all others.
-    Only lines in pairs that sketches leave, and those of large buckets, are fetched from the texts.
+    Lines are linked when they share a key and are alike in edits. Sketches are compared where buckets meet; pairs of small buckets that they leave, and pairs
+    with the first line of every large one, are compared in edits; then, in large buckets that still hold several groups, the lines outside the largest group with all others.
+    Only lines in pairs and large buckets that sketches leave are fetched from the texts.
     """
-    keys = stored(line_keys(docs, similarity, min_words, most_keys))
-    parts = [stored(bucketed(keys.select("id", F.explode(f"keys_{part}").alias("key")), "key")) for part in range(_PARTS)]
-    discard(keys)
-    placed = reduce(DataFrame.union, parts)
+    placed = stored(buckets(line_keys(docs, similarity, min_words, most_keys)))
     lines = distinct.select(F.col("low").alias("id"), "words", "sketch_0", "sketch_1", "doc_id", "line")
-    most = F.floor(F.greatest("x.words", "y.words") * F.lit(1 - similarity) + 1e-9)
-    bits = sum((F.bit_count(F.col(f"x.sketch_{half}").bitwiseXOR(F.col(f"y.sketch_{half}"))) for half in (0, 1)), F.lit(0))
     small = lines.select("id", "words", "sketch_0", "sketch_1")
-    x, y = small.alias("x"), small.alias("y")
-    # an edit turns over two bits at most
-    near = (F.abs(F.col("x.words") - F.col("y.words")) <= most) & (bits <= 2 * most)
-    pairs = stored(bucket_pairs(placed).join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & near).select("a", "b"))
-    large = placed.filter(F.col("n") > _SMALL)
+    found = stored(near_lines(placed.join(small, "id"), similarity))
+    discard(placed)
+    pairs = stored(found.filter("key IS NULL AND a <> b").select("a", "b").distinct())
+    large = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     texts = stored(line_symbols(docs, lines.select("id", "doc_id", "line").join(asked, "id", "left_semi")).dropDuplicates(["id"]))
     x, y = texts.alias("x"), texts.alias("y")
     links = stored(pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & edit_alike(F.col("x.symbols"), F.col("y.symbols"), similarity)).select("a", "b"))
     groups = connected_components(links).select(F.col("node").alias("id"), "component")
     # buckets with the same lines are compared once
-    alike = large.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.max("n").alias("n")).groupBy("sum", "n").agg(F.min("key").alias("key")).select("key")
-    members = stored(large.select("key", "id").join(alike, "key", "left_semi").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    alike = large.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("n")).groupBy("sum", "n").agg(F.min("key").alias("key")).select("key")
+    members = stored(large.join(alike, "key", "left_semi").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "component"))
     more = stored(large_links(members, small.join(texts, "id").dropDuplicates(["id"]), similarity))
     groups = connected_components(links.union(more)).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    discard(*parts, pairs, texts, links, members, more)
+    discard(found, pairs, texts, links, members, more)
     return groups
 
 

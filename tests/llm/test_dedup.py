@@ -155,6 +155,67 @@ def test_sketches_of_many_lines_leave_the_same_pairs(monkeypatch, at_once):
     assert not list(lines.sketched(outside[:0], inside, component, words, sketch, 0.8)) and not list(lines.sketched(outside, inside[:0], component, words, sketch, 0.8))
 
 
+def test_sketches_with_their_top_bits_set_are_counted_whole():
+    """Lines whose sketches differ in two bits, one of them the sign's: numpy counts the bits of a negative number's absolute value."""
+    flips = [[1 << 63 | 1 << 3, 0], [0, 1 << 63 | 1 << 40], [1 << 63, 1 << 63]]
+    sketch = [np.array([0, *(f[half] for f in flips)], np.uint64).view(np.int64) for half in (0, 1)]
+    found = list(lines.sketched(np.array([0]), np.array([1, 2, 3]), np.arange(4), np.full(4, 5), sketch, 0.8))
+    assert [(i, near.tolist()) for i, near, _ in found] == [(0, [1, 2, 3])]
+
+
+@pytest.mark.parametrize("whole, held", [(1024, 1 << 15), (1024, 7), (9, 7), (9, 20)])
+def test_buckets_of_any_size_keep_what_is_near(spark, monkeypatch, whole, held):
+    """Small buckets, larger ones and those that no task holds, some of which start in one batch and end in another, against all pairs of each."""
+    for name, value in (("_SMALL", 4), ("_WHOLE", whole), ("_ROWS", held), ("_AT_ONCE", 30)):
+        monkeypatch.setattr(lines, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    rng = np.random.default_rng(3)
+    rows, number = [], 0
+    for key, size in enumerate([2, 4, 5, 9, 10, 31, 2, 40, 9, 3, 12]):
+        base = rng.integers(-(1 << 63), 1 << 63, (3, 2))
+        for _ in range(size):
+            half = base[rng.integers(3)] ^ (np.int64(1) << rng.integers(0, 64, 2))
+            rows.append((key, number, size, int(rng.integers(9, 12)), int(half[0]), int(half[1])))
+            number += 1
+    try:
+        out = lines.near_lines(spark.createDataFrame(rows, "key long, id long, n long, words int, sketch_0 long, sketch_1 long"), 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = lambda x, y: abs(x[3] - y[3]) <= (m := int(max(x[3], y[3]) * 0.2 + 1e-9)) and sum(((x[i] ^ y[i]) % (1 << 64)).bit_count() for i in (4, 5)) <= 2 * m
+    pairs, members = set(), set()
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        both = {(x[1], y[1]) for i, x in enumerate(own) for y in own[i + 1 :] if near(x, y)}
+        if len(own) <= 4:
+            pairs |= both
+            continue
+        stay = [r for r in own if len(own) > whole or any(r[1] in p for p in both)]
+        members |= {(key, r[1]) for r in stay}
+        pairs |= {(stay[0][1], r[1]) for r in stay[1:] if near(stay[0], r)}
+    assert sorted((r.a, r.b) for r in out if r.key is None) == sorted(pairs)
+    assert sorted((r.key, r.a) for r in out if r.key is not None) == sorted(members)
+    assert len(pairs) > 20 and len(members) > 50
+
+
+def test_packed_keys_meet_in_their_buckets(spark):
+    """Keys that go to Spark by part come back as the buckets that a plain count of each line's keys gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(3)
+    level = lines.rarity(docs)
+    held: dict = {}
+    for row in docs.collect():
+        words, _, _, first, count = lines.line_words([row["text"]])
+        for f, n in zip(first[count >= 4].tolist(), count[count >= 4].tolist()):
+            low = int(lines.line_digests(words[f : f + n], np.arange(n), np.array([0]))[0][0])
+            for key in lines.rare_pairs(words[f : f + n], np.array([n]), level, 0.8, 1 << 30)[1].view(np.uint64).tolist():
+                held.setdefault(key >> 25, set()).add(low)
+    found: dict = {}
+    rows = lines.buckets(lines.line_keys(docs, 0.8, 4, 1 << 30)).collect()
+    for r in rows:
+        found.setdefault(r.key, set()).add(r.id)
+    assert all(r.n == len(found[r.key]) for r in rows) and len(rows) == sum(map(len, found.values()))
+    assert found == {key: ids for key, ids in held.items() if len(ids) > 1} and len(found) > 100
+
+
 def test_pairs_at_the_limit_are_found():
     """The share of pairs at the limit that show a common key, by length: all up to 29 words, 98.5 % beyond; all of any length with every key."""
     rng = np.random.default_rng(2)
