@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, sized_slices, spread, stored
+from .common import discard, mixed, release, sized_slices, spread, stored
 from .components import connected_components, in_blocks
 
 #: ASCII marks and control characters end words, and every digit counts as 0. Capitals are lower-cased before.
@@ -553,10 +553,12 @@ def line_groups(docs: DataFrame, distinct: DataFrame, similarity: float, min_wor
     Only lines in pairs and large buckets that sketches leave are fetched from the texts.
     """
     placed = stored(buckets(line_keys(docs, similarity, min_words, most_keys)))
+    release(docs.sparkSession)
     lines = distinct.select(F.col("low").alias("id"), "words", "sketch_0", "sketch_1", "doc_id", "line")
     small = lines.select("id", "words", "sketch_0", "sketch_1")
     found = stored(near_lines(placed.join(small, "id"), similarity))
     discard(placed)
+    release(docs.sparkSession)
     pairs = stored(found.filter("key IS NULL AND a <> b").select("a", "b").distinct())
     large = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()

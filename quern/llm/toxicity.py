@@ -136,8 +136,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return texts.select("doc_id", "toxic")
 
 
-def document_counts(rows: DataFrame, terms, limit: int = 400_000) -> DataFrame:
-    """term, positive and n: in how many rows (text, toxic) each of ``terms(words)`` occurs, summed in the task first."""
+def document_counts(rows: DataFrame, terms, limit: int = 100_000) -> DataFrame:
+    """term, positive and n: in how many rows (text, toxic) each of ``terms(words)`` occurs, summed in the task first, which holds ``limit`` terms and those of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -152,8 +152,8 @@ def document_counts(rows: DataFrame, terms, limit: int = 400_000) -> DataFrame:
         for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[int(toxic == 1)].update(set(terms(folded_words(text or ""))))
-            if len(seen[0]) + len(seen[1]) > limit:
-                yield out()
+                if len(seen[0]) + len(seen[1]) > limit:
+                    yield out()
         yield out()
 
     return rows.select("text", "toxic").mapInArrow(run, "term string, positive long, n long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n"))

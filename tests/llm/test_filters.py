@@ -350,3 +350,19 @@ def test_texts_reach_python_in_small_batches(spark):
             assert rows.agg(F.max("n"), F.sum("n")).first() == (want, 20_000)
     finally:
         spark.conf.set(common._BATCH_CONF, conf)
+
+
+def test_counting_terms_holds_few_of_them(spark):
+    """60 texts of 100 new words each: a task that may hold 250 terms hands them on after a text, not after 512 of them."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            texts = ["always " + " ".join("w" + "".join(chr(97 + int(d)) for d in f"{at * 100 + i:04}") for i in range(100)) for at in range(60)]
+            self.parts = [b.to_pylist() for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([at % 2 for at in range(60)], pa.int32())], ["text", "toxic"])]))]
+            return self
+
+        select = groupBy = agg = lambda self, *_: self
+
+    parts = toxicity.document_counts(Rows(), lambda words: words, limit=250).parts
+    assert max(map(len, parts)) <= 351 and sum(len(p) for p in parts) < 6100
+    assert sum(r["n"] for p in parts for r in p) == 6060 and sum(r["positive"] for p in parts for r in p if r["term"] == "always") == 30
