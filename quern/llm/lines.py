@@ -48,8 +48,8 @@ MOST_KEYS = 16
 _PARTS, _REST = 2, 32
 #: Keys of a part that a task holds before it hands them on, and of all parts at most.
 _HELD, _MOST_HELD = 2048, 1 << 20
-#: Of buckets of up to so many lines all pairs with near sketches are compared. In larger ones those lines that are near any other are compared with the
-#: first of them, then by blocks in tasks; of buckets of more than _WHOLE lines, which no task holds, all lines.
+#: All pairs with near sketches are compared if a bucket has no more of them for each line than one of so many lines can have. Of denser buckets those lines that
+#: are near any other are compared with the first of them, then by blocks in tasks; of buckets of more than _WHOLE lines, which no task holds, all lines.
 _SMALL, _WHOLE = 32, 1024
 #: Bucket rows that a task holds, beside those of the last bucket.
 _ROWS = 1 << 15
@@ -401,10 +401,10 @@ def turned(sketch: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.n
 
 
 def near_lines(members: DataFrame, similarity: float) -> DataFrame:
-    """What sketches leave of ``members`` (key, id, n, words, sketch_0, sketch_1): pairs (a, b) with a null key, and members (key, a) of large buckets.
+    """What sketches leave of ``members`` (key, id, n, words, sketch_0, sketch_1): pairs (a, b) with a null key, and members (key, a) of dense buckets.
 
-    Pairs are all near ones of a small bucket. In a larger one the lines that are near any other stay members, and make pairs with the first of them if near. Of a bucket
-    of over _WHOLE lines all stay, and it goes through a task without being held.
+    Pairs are all near ones, if a bucket has not over _SMALL / 2 of them for each line. In a denser one the lines that are near any other stay members, and make pairs
+    with the first of them if near. Of a bucket of over _WHOLE lines all stay, and it goes through a task without being held.
     """
 
     def near(words: np.ndarray, sketch: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -421,23 +421,27 @@ def near_lines(members: DataFrame, similarity: float) -> DataFrame:
         others = np.where(whole, lead + size - 1 - place, 0)
         total = np.cumsum(others)
         active, pairs, at = ~whole, [], 0
+        found = np.zeros(len(key), np.int64)  # near pairs of a bucket, at its first line
         while at < len(key):
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, "right")))
             one = np.repeat(place[at:end], others[at:end])
             other, _ = in_line(place[at:end] + 1, others[at:end])
             kept = near(words, sketch, one, other)
             one, other = one[kept], other[kept]
-            small = size[one] <= _SMALL
-            pairs.append((one[small], other[small]))
-            active[one[~small]] = active[other[~small]] = True
+            active[one] = active[other] = True
+            found += np.bincount(lead[one], minlength=len(key))
+            few = 2 * found[lead[one]] <= _SMALL * size[one]
+            pairs.append((one[few], other[few]))
             at = end
-        some = np.flatnonzero(active)
+        dense = ((2 * found > _SMALL * size) | ~whole)[lead]
+        pairs = [(one[~dense[one]], other[~dense[one]]) for one, other in pairs]
+        some = np.flatnonzero(active & dense)
         start = some[np.searchsorted(lead[some], lead[some])]
         kept = (start != some) & near(words, sketch, start, some)
         pairs.append((start[kept], some[kept]))
         a, b = (ids[np.concatenate(x)] for x in zip(*pairs))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
-        some = some[int(begun and active[0]) :]
+        some = some[int(begun) :]
         yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(ids[some]), pa.nulls(len(some), pa.int64())], ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,9 +552,9 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
 def line_groups(docs: DataFrame, distinct: DataFrame, similarity: float, min_words: int, most_keys: int) -> DataFrame:
     """id and group of every line of ``distinct`` that is linked with another.
 
-    Lines are linked when they share a key and are alike in edits. Sketches are compared where buckets meet; pairs of small buckets that they leave, and pairs
-    with the first line of every large one, are compared in edits; then, in large buckets that still hold several groups, the lines outside the largest group with all others.
-    Only lines in pairs and large buckets that sketches leave are fetched from the texts.
+    Lines are linked when they share a key and are alike in edits. Sketches are compared where buckets meet; the pairs that they leave, of dense buckets those
+    with the first line, are compared in edits; then, in dense buckets that still hold several groups, the lines outside the largest group with all others.
+    Only lines in pairs and dense buckets that sketches leave are fetched from the texts.
     """
     placed = stored(buckets(line_keys(docs, similarity, min_words, most_keys)))
     release(docs.sparkSession)
