@@ -165,7 +165,7 @@ def test_sketches_with_their_top_bits_set_are_counted_whole():
 
 @pytest.mark.parametrize("whole, held", [(1024, 1 << 15), (1024, 7), (9, 7), (9, 20)])
 def test_buckets_of_any_size_keep_what_is_near(spark, monkeypatch, whole, held):
-    """Sparse buckets, dense ones and those that no task holds, some of which start in one batch and end in another, against all pairs of each."""
+    """Small buckets, larger ones and those that no task holds, some of which start in one batch and end in another, against all pairs of each."""
     for name, value in (("_SMALL", 4), ("_WHOLE", whole), ("_ROWS", held), ("_AT_ONCE", 30)):
         monkeypatch.setattr(lines, name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
@@ -186,7 +186,7 @@ def test_buckets_of_any_size_keep_what_is_near(spark, monkeypatch, whole, held):
     for key in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == key]
         both = {(x[1], y[1]) for i, x in enumerate(own) for y in own[i + 1 :] if near(x, y)}
-        if len(own) <= whole and len(both) <= 2 * len(own):
+        if len(own) <= 4:
             pairs |= both
             continue
         stay = [r for r in own if len(own) > whole or any(r[1] in p for p in both)]
