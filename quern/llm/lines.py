@@ -55,6 +55,8 @@ _SMALL, _WHOLE = 32, 1024
 _ROWS = 1 << 15
 #: Pairs of lines whose sketches are compared at once.
 _AT_ONCE = 1 << 16
+#: The sketch of a line's pairs of neighbours has 2 to the power of this many bits.
+_PAIR_BITS = 10
 #: Lines of which a task remembers that their keys are out already.
 _SEEN = 100_000
 #: Lines of fewer words are alike only if they are equal.
@@ -504,6 +506,51 @@ def sketched(outside: np.ndarray, inside: np.ndarray, component: np.ndarray, wor
             start = end
 
 
+def numbered(values: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number from 1 for each different value (from 0) and how often its line had it before: what two lines have in common, they have as often."""
+    order = np.lexsort((values, line))
+    fresh = np.flatnonzero(np.append(True, (values[order[1:]] != values[order[:-1]]) | (line[order[1:]] != line[order[:-1]])))
+    before = np.empty(len(values), np.int64)
+    before[order] = np.arange(len(values)) - np.repeat(fresh, np.diff(np.append(fresh, len(values))))
+    return np.unique(values * (before.max(initial=0) + 1) + before, return_inverse=True)[1] + 1
+
+
+class Strict:
+    """What tells lines apart before their edits are counted, however long they are: words and pairs of neighbours that one of them has and the other has not.
+
+    An edit turns over four bits at most of a sketch of the pairs, and takes one word or two pairs at most from what the lines have in common.
+    """
+
+    def __init__(self, symbols: list[str], words: np.ndarray):
+        self.words, self.first = words, np.cumsum(words) - words
+        line = np.repeat(np.arange(len(words)), words)
+        _, codes = np.unique(np.frombuffer("".join(symbols).encode("utf-32-le"), "<u4"), return_inverse=True)
+        starts = np.flatnonzero(line[1:] == line[:-1])
+        self.codes, self.pairs = numbered(codes, line), np.zeros(len(codes), np.int64)  # 0 where a line ends
+        self.pairs[starts] = numbered(codes[starts] * (len(codes) + 1) + codes[starts + 1], line[starts])
+        self.own_word, self.own_pair = (np.zeros(len(codes) + 1, bool) for _ in range(2))
+        bit = line[starts] << _PAIR_BITS | (mixed(self.pairs[starts].astype(np.uint64)) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+        odd = np.bincount(bit, minlength=len(words) << _PAIR_BITS) & 1
+        self.sketch = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(words), -1)
+
+    def left(self, i: int, near: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``near`` that ``most`` edits may make line i, and their ``most``."""
+        kept = np.bitwise_count(self.sketch[near] ^ self.sketch[i]).sum(1, dtype=np.int64) <= 4 * most
+        near, most = near[kept], most[kept]
+        if not len(near):
+            return near, most
+        n = self.words[near]
+        place, start = in_line(self.first[near], n)[0], np.cumsum(n) - n
+        longer = np.maximum(n, self.words[i])
+        kept = np.ones(len(near), bool)
+        for values, own, size, each in ((self.codes, self.own_word, self.words[i], 1), (self.pairs, self.own_pair, self.words[i] - 1, 2)):
+            here = values[self.first[i] : self.first[i] + size]
+            own[here] = True
+            kept &= longer - (each - 1) - np.add.reduceat(own[values[place]], start, dtype=np.int64) <= each * most
+            own[here] = False
+        return near[kept], most[kept]
+
+
 def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between lines (id, words, sketch_0, sketch_1, symbols) of different components in buckets (key, id, component).
 
@@ -519,19 +566,10 @@ def large_links(members: DataFrame, lines: DataFrame, similarity: float) -> Data
         for i, near, most in sketched(np.flatnonzero(outside), np.flatnonzero(~outside), component, words, sketch, similarity):
             if symbols is None:
                 symbols = group["symbols"].to_pylist()
-                _, codes = np.unique(np.frombuffer("".join(symbols).encode("utf-32-le"), "<u4"), return_inverse=True)
-                first, mark = np.cumsum(words) - words, np.ones(len(codes), bool)
+                strict = Strict(symbols, words)
             # what has become one component since is not compared again
             left = component[near] != component[i]
-            near, most = near[left], most[left]
-            if not len(near):
-                continue
-            # words that only one of two lines has are edits
-            own = codes[first[i] : first[i] + words[i]]
-            mark[own] = False
-            foreign = np.add.reduceat(mark[codes[in_line(first[near], words[near])[0]]], np.cumsum(words[near]) - words[near], dtype=np.int64)
-            mark[own] = True
-            near, most = near[foreign <= most], most[foreign <= most]
+            near, most = strict.left(i, near[left], most[left])
             while len(near):
                 j, limit, near, most = int(near[0]), int(most[0]), near[1:], most[1:]
                 if edits_within(symbols[i], symbols[j], limit):

@@ -163,6 +163,32 @@ def test_sketches_with_their_top_bits_set_are_counted_whole():
     assert [(i, near.tolist()) for i, near, _ in found] == [(0, [1, 2, 3])]
 
 
+def test_words_and_pairs_leave_few_long_lines_to_edits():
+    """Long lines that share a passage and common words, some of them cut or edited: none that is alike is lost, and of the others few have their edits counted."""
+    rng = np.random.default_rng(8)
+    common, passage = rng.integers(0x10000, 0x10030, 30), rng.integers(0x20000, 0x30000, 60)
+    codes = []
+    for _ in range(30):
+        own = np.where(rng.random(70) < 0.7, rng.choice(common, 70), rng.integers(0x40000, 0x50000, 70))
+        for changed in rng.integers(0, 18, 4):
+            line = np.concatenate([own[:35], passage, own[35:]])
+            line[rng.choice(len(line), changed, replace=False)] = rng.choice(common, changed)
+            codes.append(line[: rng.integers(100, 131)])
+    codes += [np.full(n, 0x10000) for n in (4, 5, 6, 90, 110)] + [np.array([0x10000, 0x10001] * n) for n in (2, 3, 50)] + [passage[:1], passage[:2]]
+    symbols, words = [c.astype("<u4").tobytes().decode("utf-32-le") for c in codes], np.array([len(c) for c in codes])
+    every, strict = np.arange(len(words)), lines.Strict(symbols, words)
+    counted = found = 0
+    for i in range(len(words)):
+        most = lines.most_edits(np.maximum(words, words[i]), 0.8)
+        near, limit = strict.left(i, every, most)
+        assert np.array_equal(limit, most[near])
+        want = [j for j in range(len(words)) if lines.edits_within(symbols[i], symbols[j], int(most[j]))]
+        assert set(want) <= set(near.tolist())
+        counted, found = counted + len(near), found + len(want)
+    assert found > 2 * len(words) and counted < 1.5 * found
+    assert [len(x) for x in strict.left(0, every[:0], words[:0])] == [0, 0]
+
+
 @pytest.mark.parametrize("whole, held", [(1024, 1 << 15), (1024, 7), (9, 7), (9, 20)])
 def test_buckets_of_any_size_keep_what_is_near(spark, monkeypatch, whole, held):
     """Small buckets, larger ones and those that no task holds, some of which start in one batch and end in another, against all pairs of each."""
