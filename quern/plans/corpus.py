@@ -161,7 +161,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     docs = jobs.stream_table(spark, sf_dir, "documents", "doc_id long, text string").select(F.col("doc_id").alias("document_id"), "text")
     jobs.ingest_stream(docs, f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return spark.read.schema("document_id long").parquet(f"{folder}/out").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 QUERIES = {

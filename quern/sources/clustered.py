@@ -40,7 +40,7 @@ class Layout:
 
 
 class Files:
-    """The few calls on a Hadoop file system that a swap needs."""
+    """The few calls on a Hadoop file system that swaps and streams need."""
 
     def __init__(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
@@ -50,6 +50,9 @@ class Files:
     def exists(self, path: str) -> bool:
         return self.fs.exists(self.make(path))
 
+    def is_folder(self, path: str) -> bool:
+        return self.exists(path) and self.fs.getFileStatus(self.make(path)).isDirectory()
+
     def names(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.make(path))) if self.exists(path) else []
 

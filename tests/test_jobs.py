@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import catalog, conversations, embedding, entities, grounding, understanding
 from quern.plans.queries import queries
 from quern.sources import tables
+from quern.streaming import keyed
 
 
 def test_category_delete_moves_only_its_own_documents(spark):
@@ -206,3 +207,31 @@ def test_address_lookup_query_returns_every_serial(spark, smallest):
             want[f"AAA1X{key:09}"] = (f"MDC-XX1E-A{n}-POD{n % 4}-GPU-{key}", *ends)
     rows = queries()["address_lookup_all"](spark, smallest).collect()
     assert len(rows) == len(want) and {r.sn: (r.hostname, r.outband, r.inband) for r in rows} == want
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    """Until round 4 a table that is a folder of files gave no row, and stream_ingest failed."""
+    text = "a line that is long enough to make a chunk of its own in this test, number "
+    rows = [(i, f"# one\n{text}{i}\n# two\n{text}{i}") for i in range(20)] + [(20, None), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for place, files in (("many", 5), ("none", 0)):
+        docs.limit(len(rows) if files else 0).repartition(max(1, files)).write.parquet(str(tmp_path / place / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "written"))
+    for folder in (tmp_path / "one", tmp_path / "deep" / "below"):
+        folder.mkdir(parents=True)
+        (folder / "documents.parquet").write_bytes(next((tmp_path / "written").glob("*.parquet")).read_bytes())
+    (tmp_path / "bare" / "documents.parquet").mkdir(parents=True)
+    ingested = lambda place: {r.document_id: r.n_chunks for r in queries()["stream_ingest"](spark, str(tmp_path / place)).collect()}
+    assert [len(list((tmp_path / place / "documents.parquet").glob("*.parquet"))) for place in ("many", "bare")] == [5, 0]
+    assert ingested("one") == ingested("many") == ingested("deep") == {i: 2 for i in range(20)}
+    assert ingested("none") == ingested("bare") == {}
+
+
+def test_streamed_tables_of_many_files_grow(spark, tmp_path):
+    """Events that came as one more file of the table's folder are read by the next run."""
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for day in (1, 5):
+        rows = [(i, dt.datetime(2024, 1, day, 1), "view", 1.0) for i in range(day)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.mode("append").parquet(str(tmp_path / "in" / "events.parquet"))
+        keyed.keep_week(keyed.log_stream(spark, str(tmp_path / "in")), out, state, shards=2)
+    assert {r["label"]: r["n"] for r in keyed.week(spark, out).collect() if r["n"]} == {"1/1": 1, "1/5": 5}
