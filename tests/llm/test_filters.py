@@ -227,6 +227,30 @@ def test_pages_outside_the_sample_are_heard(spark):
     assert heads == {0: "Own head", **{i: "Daily news" if i < 40 else None for i in range(1, 60)}}
 
 
+def test_template_of_few_pages_is_found_by_all_pages(spark, monkeypatch):
+    """A notice and a table of contents on 8 pages of 200, which the sampled pages do not show; what one page contradicts, or copies of one page alone show, stays."""
+    words = lambda i, k: " ".join(f"w{i}x{n}" for n in range(k))
+
+    def page(i, extra="", inside="", own=None):
+        own = f"<p>{words(i, 30)}</p><p>{words(1000 + i, 20)}</p>" if own is None else own
+        return f"<body><div class='a'><div class='b'><div class='top'><p>Standing line</p></div><div class='s'>{extra}<article>{own}{inside}</article></div></div></div></body>"
+
+    rows = [page(i) for i in range(160)]
+    rows += [page(i, inside="<div class='p'>We moved to a new place</div>") for i in range(160, 168)]
+    rows += [page(i, inside=f"<div class='toc guide'>to {i}</div>") for i in range(168, 176)]
+    rows += [page(i, inside=f"<div class='q'>{'Mostly this' if i > 176 else 'But here that'}</div>") for i in range(176, 184)]
+    rows += [page(i, inside="<div class='r'>Said on copies</div>", own=f"<p>{words(7, 40)}</p><p>v{i}</p>") for i in range(184, 192)]
+    rows += [page(i, inside=f"<div class='search guide'><p>{words(i, 90)}</p></div>", own=f"<p>{words(i, 9)}</p>") for i in range(192, 200)]
+    pages = spark.createDataFrame([(i, "http://many.example/", html) for i, html in enumerate(rows)], "page_id long, url string, html string")
+    plain = lambda i: f"{words(i, 30)}\n{words(1000 + i, 20)}"
+    want = {i: plain(i) for i in range(176)}
+    want |= {i: f"{plain(i)}\n{'Mostly this' if i > 176 else 'But here that'}" for i in range(176, 184)}
+    want |= {i: f"{words(7, 40)}\nv{i}\nSaid on copies" for i in range(184, 192)}
+    want |= {i: f"{words(i, 9)}\n{words(i, 90)}" for i in range(192, 200)}
+    for parts, bound in ((3, 16_000_000), (200, 16_000_000), (3, 0)):
+        assert {r.page_id: r.text for r in html_text.extract_main_text(pages.repartition(parts), broadcast_bytes=bound).collect()} == want
+
+
 def test_malformed_tags_take_linear_time():
     sources = ("<a " * 100_000, '<a b="' * 100_000, "<!x " * 100_000, "<?" * 100_000, "</" * 100_000, '<a b=">" ' * 50_000, "<a" * 100_000 + '"', "<b '\">" * 50_000, "<a x='\"' >'" * 30_000 + '"', "<" + "a" * 200_000 + '">', "&#" + "9" * 200_000 + ";<p>", "&#" * 100_000)
     for source in sources:
