@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +25,15 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(vectors, "chunk_id", "left")
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_chunks`` without the embedding: the same rows, but texts are joined to the few numbers only that several vectors share."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("filename"))
+    vectors = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").groupBy(F.col("vec_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+    several, _ = stored(vectors.filter("n > 1"))
+    rows = docs.join(several, "chunk_id", "left")
+    return rows.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.coalesce("n", F.lit(1)).cast("int")))).select("chunk_id", "content", "filename")
+
+
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of their source, of a kind by length."""
     size = F.col("n_chars")

@@ -40,7 +40,7 @@ def durable_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    gram_index.build(b.text_chunks(spark, sf_dir).drop("embedding"), f"{path}/index", buckets=16)
+    gram_index.build(b.chunk_texts(spark, sf_dir), f"{path}/index", buckets=16)
     found = gram_index.keyword_search(spark, f"{path}/index", b.golden_queries(spark, sf_dir), 10)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 

@@ -67,8 +67,11 @@ class Files:
         self.fs.delete(self.make(path), True)
 
 
-def create(rows: DataFrame, path: str, key: str = "document_id", order: tuple[str, ...] = (), buckets: int = 64, rows_per_file: int = 1_000_000, row_group: int = 16 << 20) -> Layout:
-    """A new table of ``rows``; they are ordered by ``key`` and ``order`` inside a file. ValueError if there is one already."""
+def create(rows: DataFrame, path: str, key: str = "document_id", order: tuple[str, ...] = (), buckets: int = 64, rows_per_file: int = 1_000_000, row_group: int = 16 << 20, parts: int | None = None) -> Layout:
+    """A new table of ``rows``; they are ordered by ``key`` and ``order`` inside a file. ValueError if there is one already.
+
+    With ``parts``, so many tasks write it, and ``rows`` are not counted before, which would work them out once more.
+    """
     spark = rows.sparkSession
     layout = Layout(path.rstrip("/"), key, tuple(order), buckets, rows_per_file, row_group, rows.schema.json())
     if exists(spark, path):
@@ -77,7 +80,7 @@ def create(rows: DataFrame, path: str, key: str = "document_id", order: tuple[st
     for name in files.names(layout.path):  # what a creation that was cut off left
         if name == _LAYOUT or name.startswith(f"{BUCKET}="):
             files.delete(f"{layout.path}/{name}")
-    _write(layout, rows, layout.path, "append")
+    _write(layout, rows, layout.path, "append", parts)
     described = spark.createDataFrame([(key, ",".join(order), buckets, rows_per_file, row_group, layout.schema)], "key string, sorted string, buckets int, rows_per_file long, row_group long, columns string")
     described.coalesce(1).write.json(f"{layout.path}/{_LAYOUT}")
     return layout
@@ -108,11 +111,16 @@ def lookup(spark: SparkSession, path: str, value) -> DataFrame:
     return _scan(spark, layout).filter((F.col(BUCKET) == layout.bucket_of(F.lit(value))) & (F.col(layout.key) == F.lit(value))).drop(BUCKET)
 
 
-def lookup_all(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """The rows of all keys in the first column of ``keys``; the buckets that occur there are the only ones read."""
+def lookup_all(spark: SparkSession, path: str, keys: DataFrame, most_sent: int = 0) -> DataFrame:
+    """The rows of all keys in the first column of ``keys``; the buckets that occur there are the only ones read.
+
+    Up to ``most_sent`` keys are sent to every task, so that no row of the table is shuffled.
+    """
     layout = opened(spark, path)
     wanted = keys.select(F.col(keys.columns[0]).alias(layout.key)).filter(F.col(layout.key).isNotNull()).distinct()
     buckets = _numbers(wanted.select(layout.bucket_of(F.col(layout.key))))
+    if most_sent and wanted.count() <= most_sent:
+        wanted = F.broadcast(wanted)
     return _scan(spark, layout).filter(F.col(BUCKET).isin(buckets)).join(wanted, layout.key, "left_semi").drop(BUCKET)
 
 
@@ -204,13 +212,14 @@ def _buckets(spark: SparkSession, layout: Layout, numbers: list[int]) -> DataFra
     return _scan(spark, layout).filter(F.col(BUCKET).isin(numbers))
 
 
-def _write(layout: Layout, rows: DataFrame, path: str, mode: str) -> None:
+def _write(layout: Layout, rows: DataFrame, path: str, mode: str, parts: int | None = None) -> None:
     """Write rows to the buckets' folders: range by range, so that a bucket or a key of any size is dealt over several files."""
     placed = rows.withColumn(BUCKET, layout.bucket_of(F.col(layout.key)))
     within = [BUCKET, layout.key, *layout.order]
-    parts = max(1, -(-rows.count() // layout.rows_per_file))
+    parts = max(1, -(-rows.count() // layout.rows_per_file)) if parts is None else max(1, parts)
     dealt = placed.repartitionByRange(parts, *within).sortWithinPartitions(*within)
-    writer = dealt.write.mode(mode).partitionBy(BUCKET).option("parquet.block.size", layout.row_group).option(f"parquet.bloom.filter.enabled#{layout.key}", "true")
+    writer = dealt.write.mode(mode).partitionBy(BUCKET).option("parquet.block.size", layout.row_group).option("maxRecordsPerFile", layout.rows_per_file)
+    writer = writer.option(f"parquet.bloom.filter.enabled#{layout.key}", "true")
     writer.option(f"parquet.bloom.filter.expected.ndv#{layout.key}", min(layout.rows_per_file, 1_000_000)).parquet(path)
 
 

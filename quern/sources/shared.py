@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,14 @@ def stored(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted: Spark does so when their plans are collected, which the first collection only finds out."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``stored`` wrote."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, entities, gram_index, search, sketches, tables_in_sql
+from quern.plans import binding
 from quern.sources import clustered, variants
 from quern.streaming import keyed
 
@@ -70,6 +72,83 @@ def test_few_contents_are_read_for_a_rare_term(spark, indexed):
     assert rows_read(clustered.lookup_all(spark, f"{path}/contents", found)) <= 4 * 2004 / 16 * 1.5
 
 
+def test_many_candidates_are_joined_without_being_sent(spark, indexed, monkeypatch):
+    chunks, path = indexed
+    queries = spark.createDataFrame([(1, "zebra42"), (2, "kalo show"), (3, "file-rare")], "query_id long, query string")
+    rows = lambda df: sorted((r["query_id"], r["chunk_id"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    sent = rows(gram_index.keyword_search(spark, path, queries, 20))
+    monkeypatch.setattr(gram_index, "_SENT", 3)
+    assert sent == rows(gram_index.keyword_search(spark, path, queries, 20)) == rows(search.keyword_search_batch(chunks, queries, 20))
+
+
+def test_packed_postings_come_back():
+    rng = random.Random(5)
+    for of in (1, 7, 8, 9, 500, 4096):
+        for n in {1, of // 40 + 1, of // 16, of // 2 + 1, of} - {0}:
+            numbers = np.array(sorted(rng.sample(range(of), n)), np.uint16)
+            data = gram_index.packed(numbers, of)
+            assert gram_index.unpacked(data).tolist() == numbers.tolist() and len(data) <= 1 + min(2 * n, -(-of // 8))
+
+
+def test_grams_are_all_runs_of_up_to_three_characters():
+    for text in ("", "a", "ab", "abcabc", "aaaa", "交换机 x1é", "\0\0a\0", "a\0", "\U0001f600b\U0010ffff", "x" * 50 + "yxx"):
+        want = {text[i : i + size] for size in (1, 2, 3) for i in range(len(text) - size + 1)}
+        found = gram_index.spelled(gram_index.grams_of(text))
+        assert len(found) == len(set(found)) and set(found) == want, text
+
+
+def test_postings_are_worked_out_by_block(spark):
+    """A gram has a row for each block, and rows that share a chunk_id a number: the chunks of all blocks are those of a plain count."""
+    rng = random.Random(8)
+    rows = [(i % 350, "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 12))) if i % 9 else None) for i in range(400)]
+    frame = spark.createDataFrame(rows, "chunk_id long, content string").repartition(3)
+    want: dict = {}
+    for i, content in rows:
+        for size in (1, 2, 3):
+            for at in range(len(content or "") - size + 1):
+                want.setdefault(content[at : at + size], set()).add(i)
+    ids = {r["block"]: sorted(r["ids"]) for r in frame.groupBy(gram_index.block_of(5)).agg(F.collect_set("chunk_id").alias("ids")).collect()}
+    found: dict = {}
+    postings = gram_index.block_postings(frame, 5).collect()
+    for r in postings:
+        numbers = gram_index.unpacked(r["chunks"]).tolist()
+        assert len(numbers) == r["n"]
+        found.setdefault(r["gram"], set()).update(ids[r["block"]][n] for n in numbers)
+    assert found == want and len(ids) == 5 and len(postings) == len({(r["gram"], r["block"]) for r in postings})
+
+
+def test_an_index_is_built_without_one_task_for_all(spark, tmp_path, monkeypatch):
+    """Until round 4 one task wrote a million rows, and the postings, a row for each gram and chunk, were worked out three times."""
+    monkeypatch.setattr(gram_index, "BLOCK", 50)
+    runs = spark.sparkContext.accumulator(0)
+    plain = gram_index.block_postings
+
+    def counted(contents, blocks):
+        def seen(batches):
+            for batch in batches:
+                runs.add(batch.num_rows)
+                yield batch
+
+        return plain(contents.mapInArrow(seen, contents.schema), blocks)
+
+    monkeypatch.setattr(gram_index, "block_postings", counted)
+    rows = [(i, f"common words and own{i}", f"f{i % 3}") for i in range(600)]
+    gram_index.build(spark.createDataFrame(rows, "chunk_id long, content string, filename string"), str(tmp_path / "grams"), buckets=4)
+    assert runs.value <= 2 * len(rows)
+    files = clustered.read(spark, str(tmp_path / "grams" / "contents")).select(F.col("_metadata.file_path")).distinct().collect()
+    assert len({r[0].rpartition("/")[2].split("-")[1] for r in files}) >= 3
+    queries = spark.createDataFrame([(1, "own17"), (2, "common own599")], "query_id long, query string")
+    assert {(r["query_id"], r["chunk_id"]) for r in gram_index.keyword_search(spark, str(tmp_path / "grams"), queries, 1).collect()} == {(1, 17), (2, 599)}
+
+
+def test_texts_of_chunks_are_the_rows_with_vectors(spark, tmp_path):
+    """Numbers that are null, that no vector has and that several have."""
+    spark.createDataFrame([(1, "a", "f"), (1, "a", "f"), (2, "b", None), (3, None, "g"), (None, "c", "g")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, [1.0]), (1, [1.0]), (1, None), (2, [0.5]), (None, [1.0]), (9, [1.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = lambda df: sorted(map(str, df.select("chunk_id", "content", "filename").collect()))
+    assert rows(binding.chunk_texts(spark, str(tmp_path))) == rows(binding.text_chunks(spark, str(tmp_path))) and binding.chunk_texts(spark, str(tmp_path)).count() == 9
+
+
 # sketches
 
 
